@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import media_png, simple8b, tree_bpe, warc
+from . import media_png, mixing, quality_rules, simple8b, tree_bpe, warc
 from ._common import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
@@ -21,13 +26,81 @@ def op8_media_png(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_png.media_features(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.withColumns({c: F.round(c, 9) for c in ("slot", "weight", "exponent")})
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simple8b, op6_tree_bpe, op8_media_png, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simple8b, op6_tree_bpe, op8_media_png, op9_mixing, op10_warc)}
+
+_RULES = "\n  union all ".join(f"select '{rule}' as rule, {i} as step, {cut}::double as cutoff" for rule, cuts in quality_rules.CUTOFFS.items() for i, cut in enumerate(cuts))
+_N_RULES = len(quality_rules.CUTOFFS)
+_P = quality_rules.ALPHA / _N_RULES
+
+_QUALITY = f"""
+with d as (select doc_id, coalesce(lang, 'und') as stratum, coalesce(text, '') as t from documents),
+w as (select *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l from d),
+win as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w)),
+cover as (select distinct doc_id, i + o as i from (select doc_id, i, count(*) over (partition by doc_id, g) as c from win) cross join (select unnest([0, 1, 2]) as o) where c > 1),
+rep as (select doc_id, count(*) as n_repeat_words from cover group by doc_id),
+b as (select w.doc_id, stratum, len(w)::bigint as n_words, length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))::bigint as word_chars,
+        (length(t) - length(translate(t, '#*$%&|<>', '')))::bigint as n_symbols, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines,
+        coalesce(n_repeat_words, 0)::bigint as n_repeat_words, len(l) as n_lines,
+        length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) as n_capitals, length(t) - length(translate(t, '!', '')) as n_shouts
+      from w left join rep using (doc_id)),
+s as (select *, (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed, n_symbols / greatest(word_chars, 1)::double as symbols,
+        n_dup_lines / greatest(n_lines, 1)::double as dup_lines, n_repeat_words / greatest(n_words, 1)::double as repeats,
+        n_capitals / greatest(word_chars, 1)::double as capitals, n_shouts / greatest(n_words, 1)::double as shouts from b),
+r as ({_RULES}),
+long as (unpivot (select doc_id, stratum, base_failed, symbols, dup_lines, repeats, capitals, shouts from s) on symbols, dup_lines, repeats, capitals, shouts into name rule value score),
+good as (select doc_id from labels group by doc_id having min(coalesce(quality, 0)) = 1),
+c as (select stratum, rule, step, cutoff, count(*) as n, count(*) filter (score > cutoff) as k
+      from long join good using (doc_id) join r using (rule) where not base_failed group by all),
+p as (select *, case when k > n * {_P!r} then 1.0 else (select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_P!r}) + (n - i) * ln(1 - {_P!r}))) from (select unnest(range(0, k + 1)) as i)) end as p from c),
+v as (select *, p <= {quality_rules.DELTA!r} / ((select greatest(count(distinct stratum), 1) from c) * {_N_RULES}) as passed from p),
+stop as (select stratum, rule, coalesce(min(step) filter (not passed), 1000) as stop from v group by all),
+cut as (select stratum, rule, arg_max(cutoff, step) as cutoff from v join stop using (stratum, rule) where step < stop group by all),
+hit as (select doc_id, arg_min(rule, o) as rejected_by from (select doc_id, rule, score > cutoff as bad, case rule {" ".join(f"when '{x}' then {i}" for i, x in enumerate(quality_rules.CUTOFFS))} end as o
+        from long join cut using (stratum, rule) where not base_failed) where bad group by doc_id)
+select s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rejected_by is null as kept, rejected_by, stratum
+from s left join hit using (doc_id)
+"""
+
+
+def _mixing_sql() -> str:
+    m = mixing
+    fits = f"ln(z) - s / z <= {m.TARGET_EVENNESS!r} * ln(greatest(n, 2)) + 1e-12 and r / z <= {m.MAX_REPEAT!r}"
+    digest = "('0x' || substr(md5({}), 1, 12))::bigint"
+    passes, low, step = [], "0.0::double", 1.0 / m.CANDIDATES
+    for i in range(m.PASSES):
+        passes.append(f"""t{i} as (select a, sum(pow(p, a)) as z, sum(pow(p, a) * a * ln(p)) as s, max(pow(p, a) / p) as r, max(n) as n
+    from share cross join (select {low} + j * {step!r}::double as a from (select unnest(range(0, {m.CANDIDATES + 1})) as j)) group by a),
+  a{i} as (select coalesce(min(a), 1.0) as a from t{i} where {fits})""")
+        low, step = f"greatest((select a from a{i}) - {step!r}::double, 0.0)", step / m.CANDIDATES
+    return f"""
+with d as (select doc_id, coalesce(source, '') as source, greatest(len(string_split(trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')), ' ')), 1)::bigint as n_tokens,
+    ({digest.format(f"'{m.SEED}/' || coalesce(doc_id::varchar, '')")} % {m.BLOCKS})::int as block from documents),
+  bl as (select source, block, sum(n_tokens)::double as tokens from d group by all),
+  so as (select source, sum(tokens) as size from bl group by all),
+  share as (select size / (select sum(size) from so) as p, (select count(*) from so) as n from so),
+  {",".join(passes)},
+  x as (select a from a{m.PASSES - 1}),
+  q as (select source, size, pow(size, a) / (select sum(pow(size, x.a)) from so, x) as weight, pow(size, a) / (select sum(pow(size, x.a)) from so, x) * (select sum(size) from so) as quota, a as exponent from so, x),
+  e as (select *, unnest(range(0, ceil(quota / size)::int + 1))::int as epoch from q),
+  o as (select source, block, epoch, tokens, size, quota, weight, exponent, {digest.format(f"'{m.SEED}/' || source || '/' || epoch || '/' || block")} as o from bl join e using (source)),
+  m as (select *, epoch * size + coalesce(sum(tokens) over (partition by source, epoch order by o, block rows between unbounded preceding and 1 preceding), 0) + tokens / 2 as m from o)
+select doc_id, source, n_tokens, epoch, block, round(m / quota, 9) as slot, round(weight, 9) as weight, round(exponent, 9) as exponent from d join m using (source, block) where m <= quota
+"""
+
 
 ORACLE = {
+    "op1_quality_rules": _QUALITY,
+    "op9_mixing": _mixing_sql(),
     "op10_warc": """
 with p as (select page_id, url, coalesce(encode(html), ''::blob) b from pages),
 d as (select page_id, url, octet_length(b) n, sha256(b) h from p),
