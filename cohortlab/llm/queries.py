@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media_png, mixing, quality_rules, simple8b, tree_bpe, warc
+from . import backoff_lm, lang_id, media_png, mixing, quality_rules, simple8b, site_quality, tree_bpe, warc
 from ._common import table
 
 
@@ -18,10 +18,22 @@ def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op3_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op4_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_media_png(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_png.media_features(table(spark, sf_dir, "documents"))
 
@@ -35,7 +47,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simple8b, op6_tree_bpe, op8_media_png, op9_mixing, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simple8b, op3_backoff_lm, op4_site_quality, op6_tree_bpe, op7_lang_id, op8_media_png, op9_mixing, op10_warc)}
 
 _RULES = "\n  union all ".join(f"select '{rule}' as rule, {i} as step, {cut}::double as cutoff" for rule, cuts in quality_rules.CUTOFFS.items() for i, cut in enumerate(cuts))
 _N_RULES = len(quality_rules.CUTOFFS)
