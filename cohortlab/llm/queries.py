@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, lang_id, media_png, mixing, quality_rules, simple8b, site_quality, tree_bpe, warc
+from . import backoff_lm, lang_id, media_png, mixing, ngram_join, quality_rules, simple8b, site_quality, tree_bpe, warc
 from ._common import table
 
 
@@ -26,6 +26,10 @@ def op4_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -47,7 +51,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simple8b, op3_backoff_lm, op4_site_quality, op6_tree_bpe, op7_lang_id, op8_media_png, op9_mixing, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simple8b, op3_backoff_lm, op4_site_quality, op5_ngram_join, op6_tree_bpe, op7_lang_id, op8_media_png, op9_mixing, op10_warc)}
 
 _RULES = "\n  union all ".join(f"select '{rule}' as rule, {i} as step, {cut}::double as cutoff" for rule, cuts in quality_rules.CUTOFFS.items() for i, cut in enumerate(cuts))
 _N_RULES = len(quality_rules.CUTOFFS)

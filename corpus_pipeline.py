@@ -1,11 +1,60 @@
-"""A training-corpus pipeline out of the operators of ``cohortlab.llm``."""
+"""A training-corpus pipeline out of the operators of ``cohortlab.llm``.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its result is written as Parquet and
+read again as the next one's ``docs``. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from cohortlab.llm import mixing, ngram_join, quality_rules, site_quality, tree_bpe
+from cohortlab.llm._common import save, table
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_rules.filter_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return site_quality.filter_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each near-duplicate class the document with the least doc_id stays. Documents without a doc_id go by a hash of
+    their text; rows that repeat both id and text are one document."""
+    named = docs.withColumn("__id", F.coalesce("doc_id", F.xxhash64("text")))
+    found = ngram_join.near_duplicates(named, id_col="__id")
+    firsts = save(found.where(F.col("__id") == F.col("class_id")).select("__id").distinct(), "firsts")
+    row = F.row_number().over(Window.partitionBy("__id", F.xxhash64("text")).orderBy(F.lit(1)))
+    return named.join(firsts, "__id", "left_semi").withColumn("__row", row).where("__row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are mixed to the target weights; a document is there as often as its source's budget has it."""
+    return mixing.mix_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every text of the mix is encoded and decoded."""
+    return tree_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality rules", rules), ("quality classifier", classifier), ("n-gram Jaccard join", one_of_each), ("mixing sources to target weights", mix), ("BPE encoding and decoding", encode)]
+
+#: No SQL says what the classifier and the tokenizer do; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = save(docs, f"stage-{i + 1}")
     return docs
