@@ -58,7 +58,8 @@ def base_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
         without("ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("n_capitals"),
         without("!").cast("long").alias("n_shouts"),
     )
-    return df.withColumn("__q", q).drop("__t", "__w", "__l", "__h", "__s")
+    # no filter may move below this: it would be taken apart and the words split again for every use
+    return df.withColumn("__q", F.when(F.monotonically_increasing_id() >= 0, q)).drop("__t", "__w", "__l", "__h", "__s")
 
 
 def scores() -> dict[str, Column]:
