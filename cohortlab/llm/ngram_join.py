@@ -30,6 +30,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._common import by_bytes, frame, mix64, save, utf8
 
@@ -264,6 +265,9 @@ def verified_links(units: DataFrame, threshold: float) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``rep, root``: the least member of the connected set of every end of a link. Each round sends the least label of
     a member's neighbours to it and then shortens chains by following labels; rounds are written to the shared folder."""
+    # a member that several units linked to other firsts ties these firsts together: (member, least) and (first, least)
+    own = links.where("a <> b").select("a", "b").withColumn("m", F.least(F.min("b").over(Window.partitionBy("a")), "a"))
+    links = own.select("a", F.col("m").alias("b")).unionByName(own.select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
     both = links.where("a <> b").select("a", "b").unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = save(both.distinct(), "links")
     labels = save(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("rep"), F.least("a", "m").alias("root")), "labels")
@@ -318,5 +322,6 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str
                 yield part.loc[meant, ["rep", "root", "size", "copies"]].assign(grams=[shingles(ws, n).tobytes() for ws, ok in zip(words, meant, strict=True) if ok])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("t"))
-    chosen = texts.join(wanted, texts["id"].eqNullSafe(wanted["first_id"])).select("t", "key", "rep", "root", "size", "copies")
+    # the wanted grow with the texts, so they are merged at every size
+    chosen = texts.join(wanted.hint("merge"), texts["id"].eqNullSafe(wanted["first_id"])).select("t", "key", "rep", "root", "size", "copies")
     return chosen.mapInPandas(run, "rep long, root long, size long, copies long, grams binary")
