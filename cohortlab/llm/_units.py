@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import regex
@@ -63,7 +65,7 @@ class UnitEncoder:
     tokenizer's merges are then applied to each piece. All other units go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, split: Callable[[str], list[str]], pieces: Callable[[str], list[str]], most: int = 300_000, long: int = 2000):
+    def __init__(self, path: str, split: Callable[[str], list[str]], pieces: Callable[[str], list[str]], most: int = 400_000, long: int = 2000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -72,6 +74,8 @@ class UnitEncoder:
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        assert all(s.startswith("<") for s in self.special)
+        self.merges, self.end = self._fast_merges() or (None, b"")
         self._clear()
 
     def _clear(self) -> None:
@@ -88,19 +92,61 @@ class UnitEncoder:
         """The merges alone, on one piece that the pre-tokenizer has cut."""
         return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(VISIBLE))]
 
+    def _fast_merges(self) -> tuple[Callable[[bytes], list[int]], bytes] | None:
+        """The merges by tiktoken, and what marks a piece's end there; None unless that must give the same ids.
+
+        It joins neighbours whose joint bytes are a token, the token with the lowest number first. That is the same as
+        the list of merges if numbers follow that list and every token is what its own bytes are encoded to: then two
+        neighbours that together are a token are always those that the list joins. A word's end is a byte that UTF-8
+        never has, joined to the byte before it ahead of all merges."""
+        from tiktoken import Encoding
+
+        config = json.loads(self.tokenizer.to_str())["model"]
+        suffix, text = config["end_of_word_suffix"] or "", {v: k for k, v in VISIBLE.items()}
+        if config["continuing_subword_prefix"] or config["unk_token"] or config["dropout"] or config["byte_fallback"] or config["ignore_merges"]:
+            return None
+        merged = [config["vocab"].get("".join(pair)) for pair in config["merges"]]
+        if None in merged or merged != sorted(merged) or merged[0] < 256 * (1 + bool(suffix)):
+            return None
+        inner = self.model
+        if suffix:  # the same merges inside a word, where no piece ends
+            from tokenizers.models import BPE
+
+            inner = BPE({t: i for t, i in config["vocab"].items() if not t.endswith(suffix)}, [tuple(m) for m in config["merges"] if not m[1].endswith(suffix)])
+        ranks: dict[bytes, int] = {}
+        for token, i in config["vocab"].items():
+            ended = bool(suffix) and token.endswith(suffix) and token != suffix
+            bare = token[: -len(suffix)] if ended else token
+            if token in self.special:
+                continue
+            if not set(bare) <= text.keys():
+                return None
+            if [t.id for t in (self.model if ended else inner).tokenize(bare)] != [i]:
+                return None
+            ranks[bytes(text[c] for c in bare) + b"\xff" * ended] = i
+        if suffix:
+            ranks.setdefault(b"\xff", max(ranks.values()) + 1)
+        whole = Encoding("merges", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={})
+        return whole._core_bpe.encode_single_piece, b"\xff" * bool(suffix)
+
     def encode_long(self, unit: str) -> list[int]:
         return self.encode_one(unit)
 
     def _unit(self, unit: str) -> list[int]:
         if len(unit) >= self.long:
             return self.encode_long(unit)
-        if not _SIMPLE.fullmatch(unit) or any(s in unit for s in self.special):
+        if not (unit.isascii() and unit.isalpha()) and (not _SIMPLE.fullmatch(unit) or ("<" in unit and any(s in unit for s in self.special))):
             return self.encode_one(unit)
+        pieces = self.pieces(unit)
+        if self.merges is None:
+            return [i for piece in pieces for i in self.encode_piece(piece)]
+        if len(pieces) == 1:
+            return self.merges(pieces[0].encode() + self.end)
         out: list[int] = []
-        for piece in self.pieces(unit):
+        for piece in pieces:
             ids = self.piece_ids.get(piece)
             if ids is None:
-                ids = self.encode_piece(piece)
+                ids = self.merges(piece.encode() + self.end)
                 if len(self.piece_ids) < self.most // 2:
                     self.piece_ids[piece] = ids
             out += ids
@@ -111,7 +157,7 @@ class UnitEncoder:
         base = len(self.at)
         self.at.update(zip(units, range(base, base + len(units)), strict=True))
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.flat = np.concatenate([self.flat, np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.starts = np.cumsum(self.sizes) - self.sizes
 
