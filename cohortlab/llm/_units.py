@@ -48,7 +48,8 @@ VISIBLE = _visible()
 def word_pieces(unit: str) -> list[str]:
     """What a lower-casing pre-tokenizer that keeps runs of letters, single digits and runs of other signs makes of a
     unit; only for characters below U+0180, where all versions of Unicode agree and composition changes nothing."""
-    return [unit.lower()] if unit.isalpha() else _WORD_PIECE.findall(unit.lower())
+    low = unit.lower()
+    return [low] if low.isalpha() else _WORD_PIECE.findall(low)
 
 
 def spaced_pieces(unit: str) -> list[str]:

@@ -97,7 +97,8 @@ def unpack(words: np.ndarray) -> np.ndarray:
         if e >= at:
             at = e + 1 + int(words[e])
             raw[e + 1 : at] = True
-    counts = np.where(raw, 1, np.array(COUNTS)[selector]) if raw.any() else np.array(COUNTS)[selector]
+    selector[raw] = 0
+    counts = np.where(raw, 1, np.array(COUNTS)[selector])
     ends = np.cumsum(counts)
     n = int(ends[-1]) if len(ends) else 0
     starts, width = ends - counts, np.where(raw, 0, np.array(WIDTHS)[selector]).astype(np.uint64)

@@ -93,7 +93,8 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col
     named = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     named = named.withColumns({"digest": F.sha2("payload", 256), "n": F.length("payload").cast("long"), "key": url_key("url")})
     revisits = decisions(named.select("page_id", "digest", "n"), least)
-    told = named.join(revisits, ["page_id", "digest"], "left").withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
+    other = revisits.select(F.col("page_id").alias("__p"), F.col("digest").alias("__d"), "refers_to")
+    told = named.join(other, named["page_id"].eqNullSafe(other["__p"]) & (named["digest"] == other["__d"]), "left").withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
     n = archives or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     order = [F.col("key"), F.col("page_id").asc_nulls_last()]
     ranged = told.select("page_id", "url", "key", "payload", "digest", "n", "refers_to").repartitionByRange(n, *order).sortWithinPartitions(*order)
