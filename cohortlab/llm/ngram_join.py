@@ -45,10 +45,10 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = TARGET_RECALL, mo
     """``bands, rows``: of those that reach the recall at the threshold with at most ``most`` minima, the one whose
     chance to share a band, taken over all similarities below the threshold, is least."""
     grid, best = np.linspace(0, threshold, 200), None
-    for rows in range(1, most + 1):
-        miss = 1 - threshold**rows
-        bands = max(1, int(np.ceil(np.log(1 - recall) / np.log(miss)))) if miss > 0 else 1
-        if bands * rows <= most:
+    for rows in range(1, min(most, 300) + 1):
+        share = threshold**rows  # the chance of equal minima in one band
+        wanted = np.log1p(-recall) / np.log1p(-share) if share < 1 else 1.0
+        if wanted * rows <= most and (bands := max(1, int(np.ceil(wanted)))) * rows <= most:
             false = float((1 - (1 - grid**rows) ** bands).mean())
             best = min(best or (false, bands, rows), (false, bands, rows))
     if best is None:
