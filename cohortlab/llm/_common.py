@@ -44,15 +44,6 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a table that :func:`save` wrote and that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def utf8(name: str, null: bytes = b""):
     """The column's text as UTF-8 bytes; null becomes ``null``."""
     return F.coalesce(F.col(name).cast("binary"), F.lit(null))
@@ -81,14 +72,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def same_bound(df: DataFrame, most: int) -> bool:
+def at_most(df: DataFrame, most: int) -> bool:
     """Whether ``df`` has at most ``most`` rows; reads no further than that."""
     return df.limit(most + 1).count() <= most
 
 
 def joined_small(left: DataFrame, right: DataFrame, on, how: str, most: int) -> DataFrame:
     """``left`` join ``right``, broadcast if ``right`` is proven to have at most ``most`` rows, shuffled otherwise."""
-    return left.join(F.broadcast(right) if same_bound(right, most) else right, on, how)
+    return left.join(F.broadcast(right) if at_most(right, most) else right, on, how)
 
 
 def frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
