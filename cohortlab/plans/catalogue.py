@@ -16,7 +16,7 @@ from cohortlab.operators import assign, binning, cube, outcomes, ranking, shaple
 from cohortlab.sources import fixtures, synth
 from cohortlab.sources.fixtures import CHANNELS, FEATURES, PRODUCTS, duck
 
-from . import plots, report
+from . import approaches, plots, report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -205,6 +205,10 @@ query("coarsen_until", lambda f: strata.coarsen_until(f("strat_customers"), 0.1,
 query("tree_dt_strata", lambda f: strata.supervised(f("strat_customers")).select("cost_ID", "stratum_C"))
 query("kmeans_strata", lambda f: strata.clustered(f("strat_customers"), LEAST, k_start=12)[0].select("cost_ID", "stratum_D"))
 
+query("approach_tree", lambda f: approaches.by_tree(f("strat_customers"), LEAST, rel_err=0.0).summary)
+query("approach_coarsening", lambda f: approaches.by_coarsening(f("strat_customers"), LEAST, rel_err=0.0).report)
+query("stratum_size_curve", lambda f: plots.stratum_sizes(_keyed(f("strat_customers")), "stratum"), f"select row_number() over (order by count(*) desc, stratum)::int as place, stratum, count(*) as n from {_KEYED} group by stratum")
+
 # ---- assignment ----
 _H = "('0x' || substr(md5(cost_ID || '__42'), 1, 8))::bigint"
 _SPLIT = f"(select *, case when row_number() over (partition by segment order by {_H}, cost_ID) <= greatest(1, floor(count(*) over (partition by segment) * 0.1::double)) then 'control' else 'test' end as \"group\" from {_C})"
@@ -305,6 +309,7 @@ _V = {"full": "coalesce(g.rate, 0)", "additive": _ADD, "grouping": "coalesce(cas
 for _m, _v in _V.items():
     query(f"shapley_{_m}", lambda f, m=_m: shapley.shapley(f("coalitions"), CHANNELS, m, 100), _shapley_sql(_v))
 query("shapley_auto", lambda f: shapley.shapley(f("coalitions"), CHANNELS, "auto", 5), _shapley_sql(_V["full"]))
+query("shapley_methods", lambda f: plots.attribution(f("coalitions"), CHANNELS, 100, shapley.METHODS[:3]), " union all ".join(f"select '{m}' as method, channel, value from ({_shapley_sql(v)})" for m, v in _V.items()))
 query("coalition_summary", lambda f: shapley.summary(f("coalitions"), len(CHANNELS), 100), f"with g as {_G} select 16::int as possible, count(*) as observed, 16 - count(*) as missing, count(*) filter (sample_size >= 100) as sufficient, count(*) / 16::double as coverage, {_r('count(*) filter (sample_size >= 100) / count(*)::double', 'sufficient_share')} from g")
 query("synth_customers", lambda f: synth.customers(f("strat_customers").sparkSession, 1000))
 query("synth_coalitions", lambda f: synth.coalitions(f("strat_customers").sparkSession, CHANNELS, "mixed"))

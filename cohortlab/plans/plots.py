@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
 from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from cohortlab.operators import shapley
 from cohortlab.sources import sinks
 
 if TYPE_CHECKING:
@@ -43,6 +47,18 @@ def density(df: DataFrame, column: str, arm: str, points: int = 100) -> DataFram
     return counts.join(sums, counts["arm"].eqNullSafe(sums["__a"])).select("arm", "bin", (F.col("n") / F.col("__n")).alias("share"))
 
 
+def stratum_sizes(df: DataFrame, column: str) -> DataFrame:
+    """``place, stratum, n``: strata from large to small, the data of a size curve; a row per stratum."""
+    sizes = df.groupBy(F.col(column).alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.select(F.row_number().over(Window.orderBy(F.desc("n"), "stratum")).alias("place"), "stratum", "n")
+
+
+def attribution(table: DataFrame, channels: Sequence[str], min_count: int = 5, methods: Sequence[str] = shapley.METHODS) -> DataFrame:
+    """``method, channel, value`` of the Shapley methods, the data of grouped bars."""
+    parts = [shapley.shapley(table, channels, m, min_count).withColumn("method", F.lit(m)) for m in methods]
+    return reduce(DataFrame.unionByName, parts).select("method", "channel", "value")
+
+
 def report_plots(report: Report, top: int = 15) -> dict[str, DataFrame]:
     """A table per plot of a report."""
     out = {"ev_diff": histogram(report["ev_diff"].table, "total_ev_diff")}
