@@ -142,19 +142,25 @@ def merge_small(counts: Mapping[int, int], least: int) -> list[Group]:
     return groups
 
 
-def tree_cuts(df: DataFrame, column: str, target: Column, max_bins: int = 6, sample: int = 200_000, min_share: float = 0.05) -> list[float]:
-    """Supervised cut points: the thresholds of a one-column decision tree against a 0/1 target, fitted on at most
-    ``sample`` rows. No signal gives no cuts."""
+#: MLlib looks for thresholds among all rows up to so many, and in a sample of them beyond.
+PAIRS = 10_000
+
+
+def tree_cuts(df: DataFrame, column: str, target: Column, max_bins: int = 6, min_share: float = 0.05) -> list[float]:
+    """Supervised cut points: the thresholds of a one-column decision tree against a 0/1 target, fitted on every row.
+    Up to ``PAIRS`` distinct (value, target) pairs stand for their rows by weight, so that equal shares give equal cuts
+    whatever the number of rows. No signal gives no cuts."""
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.feature import VectorAssembler
 
     rows = df.select(F.col(column).cast("double").alias("x"), target.cast("double").alias("y")).where("x is not null and y is not null")
-    rows = rows.orderBy(F.xxhash64("x", "y", F.lit(3))).limit(sample)
-    data = VectorAssembler(inputCols=["x"], outputCol="v").transform(rows)
-    if data.isEmpty():
+    pairs = rows.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")).limit(PAIRS + 1).collect()
+    if not pairs:
         return []
+    weighted = rows.withColumn("w", F.lit(1.0)) if len(pairs) > PAIRS else df.sparkSession.createDataFrame(sorted(pairs), "x double, y double, w double")
+    data = VectorAssembler(inputCols=["x"], outputCol="v").transform(weighted)
     depth = max(1, (max_bins - 1).bit_length())
-    model = DecisionTreeClassifier(featuresCol="v", labelCol="y", maxDepth=depth, maxBins=64, minInstancesPerNode=1, minWeightFractionPerNode=min(min_share, 0.49), seed=1).fit(data)
+    model = DecisionTreeClassifier(featuresCol="v", labelCol="y", weightCol="w", maxDepth=depth, maxBins=64, minInstancesPerNode=1, minWeightFractionPerNode=min(min_share, 0.49), seed=1).fit(data)
     nodes, cuts = [model._call_java("rootNode")], []
     while nodes:
         node = nodes.pop(0)

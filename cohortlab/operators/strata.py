@@ -189,10 +189,10 @@ def coarsen_until(df: DataFrame, control_share: float, p_global: float, least_co
     return out, bins, reached
 
 
-def supervised(df: DataFrame, max_bins: int = 5, sample: int = 200_000, features: Sequence[str] = NUMERIC) -> DataFrame:
+def supervised(df: DataFrame, max_bins: int = 5, features: Sequence[str] = NUMERIC) -> DataFrame:
     """Strata from cut points that separate the flag best (a decision tree per feature): ``stratum_C_key, stratum_C``."""
     target = F.coalesce((F.col(FLAG) == 1).cast("int"), F.lit(0))
-    cuts = {c: binning.tree_cuts(df, c, target, max_bins, sample) for c in features}
+    cuts = {c: binning.tree_cuts(df, c, target, max_bins) for c in features}
     out = df.withColumns({f"{c}_cbin": binning.cut_label(c, x) for c, x in cuts.items()}).withColumn(f"{FLAG}_cbin", binning.flag_label())
     return numbered(out.withColumn("stratum_C_key", key([f"{FLAG}_cbin", *[f"{c}_cbin" for c in features]])), "stratum_C_key", "stratum_C", "C_", 4)
 

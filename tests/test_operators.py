@@ -77,6 +77,14 @@ def test_binning_edges(spark):
     assert binning.profile(empty, ["x"]).first().null_share is None
 
 
+def test_supervised_cuts_read_every_row(spark):
+    x = lambda n: spark.range(n).select((F.col("id") % 8).alias("x"), (F.floor(F.col("id") / 8) % 10 < F.when(F.col("id") % 8 < 4, 2).otherwise(8)).cast("int").alias("y"))
+    assert binning.tree_cuts(x(800), "x", F.col("y")) == binning.tree_cuts(x(640_000), "x", F.col("y")) == [3.5]
+    many = spark.range(300_000).select("id", (F.col("id") >= 150_000).cast("int").alias("y"))
+    cuts = binning.tree_cuts(many, "id", F.col("y"))
+    assert any(abs(c - 150_000) < 10_000 for c in cuts)
+
+
 @given(st.dictionaries(st.integers(-1, 12), st.integers(1, 60), min_size=1), st.integers(1, 80))
 def test_merged_bins_keep_all_rows(counts, least):
     groups = binning.merge_small(counts, least)
