@@ -4,6 +4,7 @@ Features are code-point n-grams of 1 to 3 characters of the lower-cased text, ha
 frequencies are counted over every training document. The regression is trained by follow-the-regularised-leader
 (FTRL-proximal, per-coordinate rates) with L1 and L2 penalties on a bounded sample, ``PER_LANG`` documents a language at
 most, in one task; a second bounded sample that training does not see sets the temperature that divides the logits.
+Every language that occurs is learned: sample and coefficients stand in temporary files where they are large.
 Every document is predicted from its whole text alone.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; a null language is never learned; where
@@ -13,19 +14,21 @@ repeat are predicted each; an empty table gives an empty table; other columns ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import frame
+from ._common import frame, joined_small, save
 
 DIMS = 1 << 15
-#: Documents of a language in the training sample and in the calibration sample at most; languages that are learned at
-#: most, the most frequent first.
-PER_LANG, PER_LANG_CALIBRATION, MOST_LANGS = 1500, 500, 256
+#: Documents of a language in the training sample and in the calibration sample at most.
+PER_LANG, PER_LANG_CALIBRATION = 1500, 500
+#: Rows of a table that is broadcast at most; elements of an array that is held in memory at most.
+MOST_SENT, MOST_HELD = 200_000, 1 << 25
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 2e-3, 1e-4, 3
 _MULT = [np.uint32(m) for m in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 
@@ -56,12 +59,44 @@ def tfidf(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, v / max(float(np.sqrt(v @ v)), 1e-12)
 
 
-def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], target: list[int], classes: int, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> np.ndarray:
+class _Rows(Sequence):
+    """Sparse rows in a temporary file; ``take`` gives some of them."""
+
+    def __init__(self):
+        self.file, self.ends, self.mine = tempfile.TemporaryFile(), [0], range(0)
+
+    def add(self, at: np.ndarray, v: np.ndarray) -> None:
+        self.file.write(at.astype(np.int32).tobytes() + v.astype(np.float32).tobytes())
+        self.ends.append(self.ends[-1] + 2 * len(at))
+        self.mine = range(len(self.ends) - 1)
+
+    def take(self, mine: list[int]) -> _Rows:
+        out = _Rows.__new__(_Rows)
+        out.file, out.ends, out.mine = self.file, self.ends, mine
+        return out
+
+    def __len__(self) -> int:
+        return len(self.mine)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        a, z = self.ends[self.mine[i]], self.ends[self.mine[i] + 1]
+        self.file.seek(4 * a)
+        data = self.file.read(4 * (z - a))
+        return np.frombuffer(data, np.int32, (z - a) // 2), np.frombuffer(data, np.float32, offset=2 * (z - a))
+
+
+def _zeros(rows: int, cols: int) -> np.ndarray:
+    """Zeros in memory, or in a temporary file that goes with them."""
+    if rows * cols <= MOST_HELD:
+        return np.zeros((rows, cols))
+    return np.memmap(tempfile.TemporaryFile(), np.float64, "w+", shape=(rows, cols))
+
+
+def train_ftrl(rows: Sequence[tuple[np.ndarray, np.ndarray]], target: list[int], classes: int, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> np.ndarray:
     """Weights ``classes x (DIMS + 1)``, the last the bias, which the L1 penalty spares."""
-    z, n = np.zeros((classes, DIMS + 1)), np.zeros((classes, DIMS + 1))
+    z, n = _zeros(DIMS + 1, classes), _zeros(DIMS + 1, classes)
 
-    def weights(at: np.ndarray) -> np.ndarray:
-        zz, nn = z[:, at], n[:, at]
+    def weights(zz: np.ndarray, nn: np.ndarray) -> np.ndarray:
         out = -(zz - np.sign(zz) * l1) / ((beta + np.sqrt(nn)) / alpha + l2)
         out[np.abs(zz) <= l1] = 0
         return out
@@ -70,13 +105,16 @@ def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], target: list[int], cla
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             at, v = np.append(rows[i][0], DIMS), np.append(rows[i][1], 1.0)
-            w = weights(at)
-            p = softmax((w @ v)[None])[0]
+            zz, nn = z[at], n[at]
+            w = weights(zz, nn)
+            p = softmax((v @ w)[None])[0]
             p[target[i]] -= 1
-            g = p[:, None] * v
-            z[:, at] += g - (np.sqrt(n[:, at] + g * g) - np.sqrt(n[:, at])) / alpha * w
-            n[:, at] += g * g
-    return weights(np.arange(DIMS + 1))
+            g = v[:, None] * p
+            more = nn + g * g
+            z[at] = zz + g - (np.sqrt(more) - np.sqrt(nn)) / alpha * w
+            n[at] = more
+    step = max(1, MOST_HELD // (8 * classes))
+    return np.concatenate([weights(np.array(z[a : a + step]), n[a : a + step]).astype(np.float32) for a in range(0, DIMS + 1, step)]).T
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -90,7 +128,11 @@ def fit_temperature(logits: np.ndarray, target: np.ndarray) -> float:
         return 1.0
 
     def loss(t: float) -> float:
-        return -float(np.log(np.maximum(softmax(logits / np.exp(t))[np.arange(len(target)), target], 1e-300)).mean())
+        total, step = 0.0, max(1, MOST_HELD // (8 * logits.shape[1]))
+        for a in range(0, len(target), step):
+            y = target[a : a + step]
+            total -= float(np.log(np.maximum(softmax(logits[a : a + step] / np.exp(t))[np.arange(len(y)), y], 1e-300)).sum())
+        return total / len(target)
 
     a, b, g = np.log(0.02), np.log(20.0), (np.sqrt(5) - 1) / 2
     for _ in range(40):
@@ -131,23 +173,26 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """The model: ``langs, idf, weights, temperature``. Only rows that are not held out and have a language count."""
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     train = rows.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col), F.lit(11)).alias("h"))
-    counts = {r["l"]: r["n"] for r in train.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(MOST_LANGS).collect()}
+    found = save(train.groupBy("l").agg(F.count(F.lit(1)).alias("n")), "lang-counts")
+    counts = {r["l"]: r["n"] for r in found.collect()}
     langs = sorted(counts)
     if not langs:
         return {"langs": [], "idf": np.zeros(DIMS, np.float32), "weights": np.zeros((0, DIMS + 1), np.float32), "temperature": 1.0}
     df, n = _document_frequencies(train)
     idf = np.log((1 + n) / (1 + df)) + 1
     want = per_lang + per_lang_calibration
-    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, 1.1 * want / counts[lang]))])[F.col("l")]
-    sample = train.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).repartition(1)
+    share = found.select("l", F.least(F.lit(1.0), F.lit(1.1 * want) / F.col("n")).alias("share"))
+    sample = joined_small(train, share, "l", "inner", MOST_SENT).where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30)).repartition(1)
+    sent = docs.sparkSession.sparkContext.broadcast((langs, counts, idf))
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: list[tuple[int, int, tuple]] = []
+        langs, counts, idf = sent.value
+        number, found, spool = {lang: k for k, lang in enumerate(langs)}, [], _Rows()
         for b in batches:
             for t, lang, h in zip(b["t"], b["l"], b["h"], strict=True):
                 if has_letter(t):
-                    at, v = tfidf(t, idf)
-                    found.append((h, langs.index(lang), (at.astype(np.int32), v.astype(np.float32))))
+                    found.append((h, number[lang], len(found)))
+                    spool.add(*tfidf(t, idf))
         found.sort(key=lambda x: x[0] % (1 << 30))
         seen, rows, target, held = [0] * len(langs), [], [], []
         for _, k, x in found:
@@ -160,16 +205,24 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 target.append(k)
         if not rows:
             rows, target = [x for _, x in held], [k for k, _ in held]
-        w = train_ftrl(rows, target, len(langs)).astype(np.float32)
-        logits = np.array([w[:, at] @ v + w[:, DIMS] for _, (at, v) in held]).reshape(len(held), len(langs))
-        yield pd.DataFrame({"w": [w.tobytes()], "t": [fit_temperature(logits, np.array([k for k, _ in held], int))]})
-
-    got = sample.select("t", "l", "h").mapInPandas(learn, "w binary, t double").first()
-    return {"langs": langs, "idf": idf.astype(np.float32), "weights": np.frombuffer(got["w"], np.float32).reshape(len(langs), DIMS + 1), "temperature": got["t"]}
+        w = train_ftrl(spool.take(rows), target, len(langs))
+        logits, by_bucket = _zeros(len(held), len(langs)), np.ascontiguousarray(w.T)
+        for i, (at, v) in enumerate(spool.take([x for _, x in held])):
+            logits[i] = v @ by_bucket[at] + by_bucket[DIMS]
+        temperature = fit_temperature(logits, np.array([k for k, _ in held], int))
+        for k in range(len(langs)):
+            at = np.flatnonzero(w[k])
+            yield frame([(k, at.astype("<u2").tobytes(), w[k][at].astype("<f4").tobytes(), temperature)], ["k", "at", "w", "t"])
+
+    got = save(sample.select("t", "l", "h").mapInPandas(learn, "k int, at binary, w binary, t double"), "lang-weights").collect()
+    weights = np.zeros((len(langs), DIMS + 1), np.float32)
+    for r in got:
+        weights[r["k"], np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["w"], "<f4")
+    return {"langs": langs, "idf": idf.astype(np.float32), "weights": weights, "temperature": got[0]["t"]}
 
 
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, held_out, lang_pred, score``. The model, of a size fixed by ``DIMS`` and ``MOST_LANGS``, is broadcast."""
+    """``id, held_out, lang_pred, score``. The model, ``DIMS`` weights a language, is broadcast."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -93,6 +93,15 @@ def test_languages(spark, docs, empty):
     assert {r.lang_pred for r in lang_id.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    word = lambda k, j: chr(0x4E00 + 20 * k + j % 20) * 3
+    rows = [(1000 * k + i, " ".join(word(k, i + j) for j in range(12)), f"l{k:03}") for k in range(300) for i in range(20 if k < 256 else 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = lang_id.identify(df).join(df.select("doc_id", "lang"), "doc_id")
+    right = {r.lang: r.x for r in got.groupBy("lang").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("x")).collect()}
+    assert len(right) == 300 and min(right.values()) > 0.5
+
+
 def test_penalty_makes_weights_sparse_and_temperature_calibrates():
     rng = np.random.default_rng(0)
     rows, target = [], []
