@@ -4,7 +4,9 @@ Features are code-point n-grams of 1 to 3 characters of the lower-cased text, ha
 frequencies are counted over every training document. The regression is trained by follow-the-regularised-leader
 (FTRL-proximal, per-coordinate rates) with L1 and L2 penalties on a bounded sample, ``PER_LANG`` documents a language at
 most, in one task; a second bounded sample that training does not see sets the temperature that divides the logits.
-Every language that occurs is learned: sample and coefficients stand in temporary files where they are large.
+Rows alike in id, text and language are sampled by their number, their share of the sample rounded by a hash, and all
+go to one of the two. Every language that occurs is learned: sample and coefficients stand in temporary files where they
+are large.
 Every document is predicted from its whole text alone.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; a null language is never learned; where
@@ -169,40 +171,57 @@ def _document_frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
     return df.ravel(), sum(r["docs"] for r in rows)
 
 
+def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``t, l, h``: text, language and hash of the rows that are not held out and have both."""
+    rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    return rows.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit(11)).alias("h"))
+
+
+def choose(train: DataFrame, want: int) -> tuple[dict[str, int], DataFrame]:
+    """Rows of every language, and of about 1.1 times ``want`` of each ``t, l, h`` and how many rows are alike, ``m``."""
+    copies = save(train.groupBy("l", "h").agg(F.count(F.lit(1)).alias("n")), "lang-copies")
+    found = save(copies.groupBy("l").agg(F.sum("n").alias("n")), "lang-counts")
+    share = found.select("l", F.least(F.lit(1.0), F.lit(1.1 * want) / F.col("n")).alias("share"))
+    chance = F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))
+    many = F.least("n", F.ceil(F.col("n") * F.col("share") - chance))
+    wanted = save(joined_small(copies, share, "l", "inner", MOST_SENT).select("l", "h", many.alias("m")).where("m > 0"), "lang-wanted")
+    rows = joined_small(train, wanted, ["l", "h"], "inner", MOST_SENT)
+    return {r["l"]: r["n"] for r in found.collect()}, rows.groupBy("l", "h").agg(F.first("t").alias("t"), F.first("m").alias("m"))
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, per_lang_calibration: int = PER_LANG_CALIBRATION) -> dict:
     """The model: ``langs, idf, weights, temperature``. Only rows that are not held out and have a language count."""
-    rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    train = rows.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col), F.lit(11)).alias("h"))
-    found = save(train.groupBy("l").agg(F.count(F.lit(1)).alias("n")), "lang-counts")
-    counts = {r["l"]: r["n"] for r in found.collect()}
+    train = training_rows(docs, id_col, text_col, lang_col)
+    want = per_lang + per_lang_calibration
+    counts, chosen = choose(train, want)
     langs = sorted(counts)
     if not langs:
         return {"langs": [], "idf": np.zeros(DIMS, np.float32), "weights": np.zeros((0, DIMS + 1), np.float32), "temperature": 1.0}
     df, n = _document_frequencies(train)
     idf = np.log((1 + n) / (1 + df)) + 1
-    want = per_lang + per_lang_calibration
-    share = found.select("l", F.least(F.lit(1.0), F.lit(1.1 * want) / F.col("n")).alias("share"))
-    sample = joined_small(train, share, "l", "inner", MOST_SENT).where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30)).repartition(1)
+    sample = chosen.repartition(1)
     sent = docs.sparkSession.sparkContext.broadcast((langs, counts, idf))
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         langs, counts, idf = sent.value
         number, found, spool = {lang: k for k, lang in enumerate(langs)}, [], _Rows()
         for b in batches:
-            for t, lang, h in zip(b["t"], b["l"], b["h"], strict=True):
+            for t, lang, h, m in zip(b["t"], b["l"], b["h"], b["m"], strict=True):
                 if has_letter(t):
-                    found.append((h, number[lang], len(found)))
+                    found.append((h, number[lang], len(spool), m))
                     spool.add(*tfidf(t, idf))
-        found.sort(key=lambda x: x[0] % (1 << 30))
-        seen, rows, target, held = [0] * len(langs), [], [], []
-        for _, k, x in found:
-            seen[k] += 1
+        found.sort(key=lambda x: (x[0] % (1 << 30), x[0]))
+        tested, trained, rows, target, held = [0] * len(langs), [0] * len(langs), [], [], []
+        for _, k, x, m in found:
             part = max(1, min(per_lang_calibration, (1 + min(want, counts[langs[k]])) // 4)) if per_lang_calibration else 0
-            if seen[k] <= part:
-                held.append((k, x))
-            elif seen[k] <= part + per_lang:
-                rows.append(x)
-                target.append(k)
+            if tested[k] + m <= part:
+                held += [(k, x)] * m
+                tested[k] += m
+            else:
+                m = min(m, per_lang - trained[k])
+                rows += [x] * m
+                target += [k] * m
+                trained[k] += m
         if not rows:
             rows, target = [x for _, x in held], [k for k, _ in held]
         w = train_ftrl(spool.take(rows), target, len(langs))
@@ -214,7 +233,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             at = np.flatnonzero(w[k])
             yield frame([(k, at.astype("<u2").tobytes(), w[k][at].astype("<f4").tobytes(), temperature)], ["k", "at", "w", "t"])
 
-    got = save(sample.select("t", "l", "h").mapInPandas(learn, "k int, at binary, w binary, t double"), "lang-weights").collect()
+    got = save(sample.select("t", "l", "h", "m").mapInPandas(learn, "k int, at binary, w binary, t double"), "lang-weights").collect()
     weights = np.zeros((len(langs), DIMS + 1), np.float32)
     for r in got:
         weights[r["k"], np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["w"], "<f4")

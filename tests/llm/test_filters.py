@@ -102,6 +102,23 @@ def test_every_language_is_learned(spark):
     assert len(right) == 300 and min(right.values()) > 0.5
 
 
+def test_rows_of_one_id_are_sampled_by_their_number(spark):
+    nameless = spark.range(6000).selectExpr("if(id % 2 = 0, null, id) as doc_id", "concat(if(id % 2 = 0, 'gamma delta ', 'alpha beta '), id) as text", "if(id % 2 = 0, 'b', 'a') as lang")
+    model = lang_id.fit(nameless, per_lang=100, per_lang_calibration=20)
+    assert {r.lang_pred for r in lang_id.predict(nameless.where("doc_id is null"), model).collect()} == {"b"}
+    schema = "t string, l string, h long"
+    alike = spark.createDataFrame([("same", "a", -5)] * 3000 + [(f"other {i}", "a", 7919 * 2654435761 * (i + 1) % (1 << 62)) for i in range(6000)], schema)
+    _, got = lang_id.choose(alike, 500)
+    m = {r.t: r.m for r in got.collect()}
+    assert m["same"] in (183, 184) and 300 < sum(m.values()) - m["same"] < 430  # 550 of 9000 rows, a third of them alike
+    docs = spark.range(9000).selectExpr("if(id % 3 = 0, null, id) as doc_id", "concat('text ', id) as text", "'a' as lang")
+    counts, got = lang_id.choose(lang_id.training_rows(docs), 500)
+    share = 550 / counts["a"]
+    null = {r.text for r in docs.where("doc_id is null").collect()}
+    found = {r.t for r in got.collect()}
+    assert abs(len(found & null) - 3000 * share) < 60 and len(found) < 650
+
+
 def test_penalty_makes_weights_sparse_and_temperature_calibrates():
     rng = np.random.default_rng(0)
     rows, target = [], []
