@@ -9,7 +9,6 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cohortlab.llm import mixing, ngram_join, quality_rules, site_quality, tree_bpe
 from cohortlab.llm._common import save, table
@@ -26,13 +25,13 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate class the document with the least doc_id stays. Documents without a doc_id go by a hash of
-    their text; rows that repeat both id and text are one document."""
-    named = docs.withColumn("__id", F.coalesce("doc_id", F.xxhash64("text")))
-    found = ngram_join.near_duplicates(named, id_col="__id")
-    firsts = save(found.where(F.col("__id") == F.col("class_id")).select("__id").distinct(), "firsts")
-    row = F.row_number().over(Window.partitionBy("__id", F.xxhash64("text")).orderBy(F.lit(1)))
-    return named.join(firsts, "__id", "left_semi").withColumn("__row", row).where("__row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Of each near-duplicate class the document with the least doc_id stays, one of no doc_id by a hash of its text.
+    Documents are told apart by id and text together; rows that repeat both are one document."""
+    named = docs.withColumns({"__id": F.xxhash64("doc_id", "text"), "__name": F.coalesce("doc_id", F.xxhash64("text"))})
+    found = ngram_join.near_duplicates(named, id_col="__id").select("__id", "class_id").distinct()
+    first = F.min(F.struct("__name", "__id"))["__id"]
+    firsts = save(named.select("__id", "__name").distinct().join(found, "__id").groupBy("class_id").agg(first.alias("__id")).select("__id"), "firsts")
+    return named.join(firsts, "__id", "left_semi").dropDuplicates(["__id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -117,6 +117,16 @@ def test_bands_reach_the_recall():
         ngram_join.choose_bands(0.1, 0.9999, 4)
 
 
+def test_one_of_each_class_where_ids_repeat(spark):
+    import corpus_pipeline
+
+    text = lambda c: " ".join(f"{c}{i}" for i in range(100))
+    a, b, c, d = map(text, "abcd")
+    rows = [(1, a), (1, f"{a} end"), (2, b), (3, f"{b} end"), (3, c), (None, d), (None, f"{d} end"), (4, f"{a} more"), (2, b)]
+    got = [tuple(r) for r in corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()]
+    assert len(got) == 4 and {i for i, _ in got} == {1, 2, 3, None} and {t.split()[0] for _, t in got} == {"a0", "b0", "c0", "d0"}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     from cohortlab.llm._common import save, table
