@@ -1,9 +1,11 @@
 """WARC archives with a two-level capture index.
 
-Pages are sorted by a reversed-host URL key and written as ``.warc.gz`` files, one gzip member a record. Beside each
-archive stand its index, capture lines in key order packed into zstd blocks of ``BLOCK_LINES`` lines, and rows of the
-sparse directory: one ``first key, block offset, block length`` per block. A look-up searches the directory by halves,
-range-reads one block (more only if a key fills several), searches its lines by halves and range-reads the records.
+Pages are sorted by a reversed-host URL key and page_id and written as ``.warc.gz`` files, one gzip member a record.
+Beside each archive stand its index, capture lines in that order packed into zstd blocks of ``BLOCK_LINES`` lines, and
+its sparse directory: one ``first key, first page_id, block offset, block length`` per block. A look-up finds the archive
+by halves among the first captures of all archives, searches that archive's directory by halves, range-reads one block
+(more only if a key fills several), searches its lines by halves and range-reads the records. The query looks up every
+page, in key order, so that neighbours share a block.
 
 Payloads of at least ``least`` bytes are stored once: of the records with equal payloads that with the smallest page_id
 is a response, the others are revisits that refer to it. Which digests recur is found by a grouped minimum over digests
@@ -83,7 +85,7 @@ def _page(urn: str) -> int | None:
 
 
 _PAGES = "page_id long, url string, key string, payload binary, digest string, n long, refers_to long"
-DIRECTORY = "archive_no int, archive string, index string, block int, first_key string, offset long, length long, lines int"
+DIRECTORY = "archive_no int, archive string, index string, block int, first_key string, first_page long, offset long, length long, lines int, directory string"
 
 
 def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST, archives: int | None = None) -> DataFrame:
@@ -107,8 +109,8 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col
 
         def close_block() -> None:
             data = zstandard.compress("\n".join(lines).encode(), 3)
-            offset = blocks[-1][5] + blocks[-1][6] if blocks else 0
-            blocks.append((part, f"{name}.warc.gz", f"{name}.cdx.zst", len(blocks), json.loads(lines[0])[0], offset, len(data), len(lines)))
+            offset = blocks[-1][6] + blocks[-1][7] if blocks else 0
+            blocks.append((part, f"{name}.warc.gz", f"{name}.cdx.zst", len(blocks), *json.loads(lines[0])[:2], offset, len(data), len(lines), f"{name}.dir.zst"))
             index.append(data)
             lines.clear()
 
@@ -131,6 +133,8 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col
         if first is not None:
             write_file(root, f"{name}.warc.gz", _chain(first, it))
             write_file(root, f"{name}.cdx.zst", index)
+            sparse = zstandard.compress("\n".join(json.dumps(x[4:8], ensure_ascii=False) for x in blocks).encode(), 3)
+            write_file(root, f"{name}.dir.zst", [len(sparse).to_bytes(8, "little"), sparse])
             yield frame(blocks, [c.split()[0] for c in DIRECTORY.split(", ")])
 
     return save(ranged.mapInPandas(write, DIRECTORY), "warc-directory")
@@ -146,59 +150,114 @@ def read_block(reader: Reader, index: str, offset: int, length: int) -> list[lis
     return [json.loads(line) for line in zstandard.decompress(reader.read(index, offset, length)).decode().split("\n")]
 
 
-def read_archives(directory: DataFrame, root: str) -> DataFrame:
-    """Read every record through the index: blocks of capture lines first, then one range of the archive per record."""
+def _place(line: list) -> tuple:
+    """Where a capture or directory line stands: by key, then page_id, null last."""
+    return line[0], line[1] is None, line[1] or 0
+
+
+class _Archives:
+    """Look-ups over all archives; ``tops`` has the first place, the archive, index and directory of each, ascending. The
+    last directory and block are kept, for look-ups that come in order."""
+
+    def __init__(self, root: str, tops: list[tuple]):
+        self.tops, self.firsts = tops, [x[0] for x in tops]
+        self.sparse, self.index, self.archive = Reader(root), Reader(root), Reader(root)
+        self.directory, self.block = (None, []), (None, [])
+
+    def _directory(self, name: str) -> list[list]:
+        if self.directory[0] != name:
+            size = int.from_bytes(self.sparse.read(name, 0, 8), "little")
+            data = zstandard.decompress(self.sparse.read(name, 8, size)).decode()
+            self.directory = name, [json.loads(line) for line in data.split("\n")]
+        return self.directory[1]
+
+    def _block(self, index: str, offset: int, length: int) -> list[list]:
+        if self.block[0] != (index, offset):
+            self.block = (index, offset), read_block(self.index, index, offset, length)
+        return self.block[1]
+
+    def find(self, low: tuple, high: tuple) -> Iterator[tuple[str, list]]:
+        """Archive and line of the captures from ``low`` to ``high``."""
+        a = max(bisect.bisect_left(self.firsts, low) - 1, 0)
+        while a < len(self.tops) and self.firsts[a] <= high:
+            _, archive, index, name = self.tops[a]
+            rows = self._directory(name)
+            k = max(bisect.bisect_left(rows, low, key=_place) - 1, 0)
+            while k < len(rows) and _place(rows[k]) <= high:
+                lines = self._block(index, *rows[k][2:])
+                at = bisect.bisect_left(lines, low, key=_place)
+                while at < len(lines) and _place(lines[at]) <= high:
+                    yield archive, lines[at]
+                    at += 1
+                k += 1
+            a += 1
+
+
+def _tops(directory: DataFrame) -> list[tuple]:
+    """One row an archive; their number is that of the partitions they were written from, whatever the input."""
+    rows = directory.where("block = 0").select("first_key", "first_page", "archive", "index", "directory").collect()
+    return sorted((_place(r[:2]), *r[2:]) for r in rows)
+
+
+def resolve(directory: DataFrame, root: str, pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """The captures of the given pages, looked up one by one in key order; every record is tested against its line."""
+    spark = directory.sparkSession
+    tops = spark.sparkContext.broadcast(_tops(directory))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, archive = Reader(root), Reader(root)
+        archives, last = _Archives(root, tops.value), None
         for b in batches:
-            for row in b.itertuples(index=False):
-                out = []
-                for key, page_id, kind, digest, offset, length in read_block(index, row.index, row.offset, row.length):
-                    rec = parse_record(archive.read(row.archive, offset, length))
-                    head, payload = rec["headers"], rec["payload"]
-                    size = int(rec["http"]["Content-Length"])
-                    if head["WARC-Type"] != kind or _page(head["WARC-Record-ID"]) != page_id:
-                        raise ValueError(f"{row.archive} at {offset}: another record than the index says")
-                    found = hashlib.sha256(payload).hexdigest() if kind == "response" else head["WARC-Payload-Digest"].removeprefix("sha256:")
-                    if found != digest or kind == "response" and size != len(payload):
-                        raise ValueError(f"{row.archive} at {offset}: the payload differs")
-                    out.append((page_id, size, found, kind, _page(head["WARC-Refers-To"]) if kind == "revisit" else None, key))
-                cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key"]
-                yield frame(out, cols)
-
-    tasks = directory.repartition(max(1, int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "archive", "block")
+            out = []
+            for key, page in b.itertuples(index=False):
+                place = _place([key, None if page is None else int(page)])
+                if place == last:  # rows that repeat were found together
+                    continue
+                last, found = place, 0
+                for archive, (_, page_id, kind, digest, offset, length) in archives.find(place, place):
+                    out.append((*_tested(archives.archive, archive, page_id, kind, digest, offset, length), key))
+                    found += 1
+                if not found:
+                    raise ValueError(f"page {page}: not in the index")
+            yield frame(out, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key"])
+
+    asked = pages.select(url_key(url_col).alias("key"), F.col(id_col).cast("long").alias("page_id"))
+    order = [F.col("key"), F.col("page_id").asc_nulls_last()]
+    tasks = asked.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), *order).sortWithinPartitions(*order)
+    tasks = tasks.select("key", F.col("page_id").cast("string"))  # whole beside nulls
     return tasks.mapInPandas(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string")
 
 
+def _tested(reader: Reader, archive: str, page_id: int | None, kind: str, digest: str, offset: int, length: int) -> tuple:
+    """What the record says, which must be what its capture line says."""
+    rec = parse_record(reader.read(archive, offset, length))
+    head, payload = rec["headers"], rec["payload"]
+    size = int(rec["http"]["Content-Length"])
+    if head["WARC-Type"] != kind or _page(head["WARC-Record-ID"]) != page_id:
+        raise ValueError(f"{archive} at {offset}: another record than the index says")
+    found = hashlib.sha256(payload).hexdigest() if kind == "response" else head["WARC-Payload-Digest"].removeprefix("sha256:")
+    if found != digest or kind == "response" and size != len(payload):
+        raise ValueError(f"{archive} at {offset}: the payload differs")
+    return page_id, size, found, kind, _page(head["WARC-Refers-To"]) if kind == "revisit" else None
+
+
 def look_up(directory: DataFrame, root: str, keys: DataFrame, key_col: str = "key") -> DataFrame:
-    """The captures of the given URL keys. The directory, one row a block, is searched by halves in every task; blocks
-    are read one at a time. The directory is collected: it has one row per ``BLOCK_LINES`` pages."""
-    rows = sorted(directory.select("first_key", "archive_no", "block", "archive", "index", "offset", "length").collect(), key=lambda r: (r.first_key, r.archive_no, r.block))
-    firsts = [r.first_key for r in rows]
-    held = directory.sparkSession.sparkContext.broadcast((firsts, [tuple(r) for r in rows]))
+    """The captures of the given URL keys."""
+    tops = directory.sparkSession.sparkContext.broadcast(_tops(directory))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        firsts, rows = held.value
-        index, archive = Reader(root), Reader(root)
+        archives = _Archives(root, tops.value)
         for b in batches:
             out = []
             for key in b["key"]:
-                k = max(bisect.bisect_left(firsts, key) - 1, 0)
-                while k < len(rows) and rows[k][0] <= key:
-                    lines = read_block(index, rows[k][4], rows[k][5], rows[k][6])
-                    at = bisect.bisect_left(lines, key, key=lambda line: line[0])
-                    while at < len(lines) and lines[at][0] == key:
-                        rec = parse_record(archive.read(rows[k][3], lines[at][4], lines[at][5]))
-                        out.append((key, lines[at][1], lines[at][2], lines[at][3], rec["payload"]))
-                        at += 1
-                    k += 1
+                for archive, line in archives.find((key, False, float("-inf")), (key, True, float("inf"))):
+                    rec = parse_record(archives.archive.read(archive, line[4], line[5]))
+                    out.append((key, line[1], line[2], line[3], rec["payload"]))
             yield frame(out, ["key", "page_id", "record_type", "payload_digest", "payload"])
 
     return keys.select(F.col(key_col).alias("key")).mapInPandas(find, "key string, page_id long, record_type string, payload_digest string, payload binary")
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
-    """Write the archives to the shared folder and read them back through their index."""
+    """Write the archives to the shared folder and look every page up in them."""
     root = fresh_path(pages.sparkSession, "warc")
-    return read_archives(write_archives(pages, root), root)
+    return resolve(write_archives(pages, root), root, pages)

@@ -43,6 +43,19 @@ def test_look_up_reads_one_block(spark, monkeypatch):
     assert got == {"com,example,h3)/3": (3, "page 3 " * 30), "com,example,h0)/0": (0, "page 0 " * 30)}
 
 
+def test_query_goes_by_the_directory(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 2)
+    rows = [(i if i % 9 else None, None if i % 3 == 0 else f"http://h{i % 7}.example.com/{i % 20}", f"page {i} " * 30) for i in range(120)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    root = fresh_path(spark, "warc-test")
+    directory = warc.write_archives(df, root, archives=3)
+    got = [r.payload_digest for r in warc.resolve(directory, root, df).collect()]
+    assert sorted(got) == sorted(hashlib.sha256(h.encode()).hexdigest() for _, _, h in rows)
+    stray = spark.createDataFrame([(500, "http://h1.example.com/1")], "page_id long, url string")
+    with pytest.raises(Exception, match="not in the index"):
+        warc.resolve(directory, root, stray).collect()
+
+
 def test_damage_is_found():
     member = warc._record("response", 1, "http://a/", hashlib.sha256(b"abc").hexdigest(), b"abc", 3, None)
     assert gzip.decompress(member).startswith(b"WARC/1.1\r\n") and warc.parse_record(member)["payload"] == b"abc"
