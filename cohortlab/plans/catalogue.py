@@ -101,6 +101,9 @@ query("ev_compare_summary", lambda f: ranking.compare_summaries(ranking.total_va
 _FOUR = PRODUCTS[:4]
 query("value_diff", lambda f: ranking.value_differences(_legacy(f), _new(f), _FOUR), f"select l.customer_id, {', '.join(_r(f'abs(coalesce(n.{p}::double, 0) - coalesce(l.{p}::double, 0))', f'{p}_abs_diff') for p in _FOUR)}, {_r(' + '.join(f'abs(coalesce(n.{p}::double, 0) - coalesce(l.{p}::double, 0))' for p in _FOUR), 'sum_abs_diff')} from {_L} l join {_N} n using (customer_id)")
 query("value_diff_summary", lambda f: ranking.summary(ranking.value_differences(_legacy(f), _new(f), _FOUR), "sum_abs_diff"), f"with j as (select {' + '.join(f'abs(coalesce(n.{p}::double, 0) - coalesce(l.{p}::double, 0))' for p in _FOUR)} as x from {_L} l join {_N} n using (customer_id)) {_summary_sql('x', 'j')}")
+_DIFFS = [f"abs(coalesce(n.{p}::double, 0) - coalesce(l.{p}::double, 0))" for p in PRODUCTS]
+query("value_diff_all", lambda f: ranking.value_differences(_legacy(f), _new(f), PRODUCTS), f"select l.customer_id, {', '.join(_r(d, f'{p}_abs_diff') for p, d in zip(PRODUCTS, _DIFFS, strict=True))}, {_r(' + '.join(_DIFFS), 'sum_abs_diff')} from {_L} l join {_N} n using (customer_id)")
+query("value_diff_all_summary", lambda f: ranking.summary(ranking.value_differences(_legacy(f), _new(f), PRODUCTS), "sum_abs_diff"), f"with j as (select {' + '.join(_DIFFS)} as x from {_L} l join {_N} n using (customer_id)) {_summary_sql('x', 'j')}")
 query("product_shift_top3", lambda f: ranking.product_shift(_legacy(f), _new(f), 3), f"""with {_RANKED}, a as (select product, count(*) as f from rl where r <= 3 group by product), b as (select product, count(*) as f from rn where r <= 3 group by product)
 select product, coalesce(a.f, 0) as freq_legacy, coalesce(b.f, 0) as freq_new, {_r(f'coalesce(a.f, 0) / (select count(*) from {_L})::double', 'pct_legacy')}, {_r(f'coalesce(b.f, 0) / (select count(*) from {_N})::double', 'pct_new')} from a full join b using (product)""")
 
@@ -141,7 +144,7 @@ select least(19, floor((v - lo) / w))::int as bin, {_r('lo + least(19, floor((v
 
 
 def _report_tables(f) -> DataFrame:
-    made = report.build(f("priority_legacy"), f("priority_new"), report.Scenario("active", tuple(PRODUCTS[:12])), persist=False)
+    made = report.build(f("priority_legacy"), f("priority_new"), report.Scenario("active", tuple(PRODUCTS)), persist=False)
     return made["top3_product_shift"].table
 
 

@@ -25,6 +25,11 @@ def test_runs(spark, name):
     assert df.columns and df.count() >= 0
 
 
+def test_every_product_is_compared(spark):
+    assert {f"{p}_abs_diff" for p in catalogue.PRODUCTS} < set(catalogue.QUERIES["value_diff_all"](spark, SF).columns)
+    assert {r["product"] for r in catalogue.QUERIES["report_top3_shift"](spark, SF).collect()} - set(catalogue.PRODUCTS[:12])
+
+
 def test_entry_lists_all(spark):
     import __spark_entry__ as entry
 
