@@ -139,6 +139,7 @@ def _changed_sql() -> str:
 
 query("changed_unchanged_ev", lambda f: ranking.changed_unchanged_value(_legacy(f), _new(f), CHANGED, UNCHANGED), _changed_sql())
 query("subset_customers_products", lambda f: subset.subset(f("priority_new"), f("strat_customers").where("cost_ID % 8 = 3").select(F.col("cost_ID").alias("customer_id")), _FOUR), f"select customer_id, control, {', '.join(_r(p, p) for p in _FOUR)} from {duck('priority_new')} where control = 0 and customer_id % 8 = 3")
+query("subset_segment_products", lambda f: subset.subset(f("priority_new"), f("strat_customers").where("segment = 'BUILDING'").select(F.col("cost_ID").alias("customer_id")), PRODUCTS), f"select customer_id, control, {', '.join(_r(p, p) for p in PRODUCTS)} from {duck('priority_new')} where control = 0 and customer_id in (select cost_ID from {_C} where segment = 'BUILDING')")
 query("ev_diff_histogram", lambda f: plots.histogram(ranking.metric_difference(ranking.total_value(_legacy(f)), ranking.total_value(_new(f)), "total_ev"), "total_ev_diff", 20), f"""with {_EV}, d as (select b - a as v from l join n using (customer_id)), e as (select min(v) as lo, max(v) as hi, (max(v) - min(v)) / 20 as w from d)
 select least(19, floor((v - lo) / w))::int as bin, {_r('lo + least(19, floor((v - lo) / w))::int * w', 'low')}, {_r('lo + (least(19, floor((v - lo) / w))::int + 1) * w', 'high')}, count(*) as n from d, e group by 1, 2, 3""")
 

@@ -30,6 +30,11 @@ def test_every_product_is_compared(spark):
     assert {r["product"] for r in catalogue.QUERIES["report_top3_shift"](spark, SF).collect()} - set(catalogue.PRODUCTS[:12])
 
 
+def test_subset_goes_by_segment(spark):
+    got = {r.customer_id % 8 for r in catalogue.QUERIES["subset_segment_products"](spark, SF).collect()}
+    assert len(got) > 1
+
+
 def test_entry_lists_all(spark):
     import __spark_entry__ as entry
 
