@@ -1,4 +1,4 @@
-"""Language-model scores from a weighted backoff automaton over word n-grams.
+"""Language-model scores of a weighted backoff automaton over word n-grams, its recursion evaluated directly.
 
 States are the histories of up to ``order - 1`` words seen in training, arcs the n-grams. In state h, a word w with
 c(hw) > 0 has an arc of weight log10 P(w | h) to the longest state that hw ends in; any other word takes the failure arc
@@ -9,8 +9,8 @@ of h, of weight log10 of the mass that h leaves to its shorter history, and is t
 The automaton of the whole corpus is never in one place. Documents are numbered into chunks; each chunk asks for the
 n-grams it holds, as sorted 64-bit keys with its own training counts; buckets of the key space add up the counts of all
 chunks and answer every chunk in the order it asked, in one file a bucket with an index by chunk. A chunk then reads its
-answers, which are its slice of the automaton, and traverses each document once from left to right, all positions of the
-chunk in numpy. Every chunk holds a key once, however often it occurs there, so a word that is in every document weighs
+answers, which are the counts of its slice of the automaton, and evaluates the recursion from the root up at all positions
+at once in numpy: no state is carried and no arcs are built, the scores are those of the traversal. Every chunk holds a key once, however often it occurs there, so a word that is in every document weighs
 no more on its bucket than any other. Keys are 64-bit hashes; two of n distinct n-grams collide with a probability of
 n^2 / 2^65 (under 1e-4 for 5e7, and then change two counts).
 
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ._common import by_bytes, frame, fresh_path, mix64, save, utf8
 from ._files import Reader, write_file
 
-ORDER, MU = 2, 100.0
+ORDER, MU = 3, 100.0
 #: Bytes of text in a chunk; n-grams asked for in a bucket, by all chunks together; buckets of an order at least.
 CHUNK_BYTES, BUCKET_KEYS, LEAST_BUCKETS = 12 << 20, 3_000_000, 96
 _END, _START, _STEP = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557), np.uint64(0x9E3779B97F4A7C15)

@@ -53,6 +53,12 @@ def test_scores(spark, docs, order, monkeypatch):
     assert sorted(got, key=repr) == brute_scores([(r.doc_id, r.text) for r in df.collect()], order, backoff_lm.MU)
 
 
+def test_scores_are_of_order_3(spark):
+    df = spark.createDataFrame([(i, "a b c a b d a b c") for i in range(1, 30)], "doc_id long, text string")
+    got = [(*r[:5], round(r[5], 6), round(r[6], 6)) for r in backoff_lm.score_texts(df).collect()]
+    assert sorted(got, key=repr) == brute_scores([(r.doc_id, r.text) for r in df.collect()], 3, backoff_lm.MU)
+
+
 def test_nothing_to_learn_from(spark, empty):
     assert backoff_lm.score_texts(empty).count() == 0
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
