@@ -1,38 +1,19 @@
-"""Encoding texts through units that a tokenizer never joins, each distinct unit once."""
+"""Encoding texts with the tokenizers library through units that a tokenizer never joins, each distinct unit once.
+
+A unit begins at a space (or a line end) where the pre-tokenizer always cuts: the pattern ends a piece there, and what
+comes after the cut never changes a piece before it. Units are cut, counted out and put together again as Arrow columns;
+Python sees the distinct units of a batch only.
+"""
 
 from __future__ import annotations
 
 import json
 import os
-import re
-from collections.abc import Callable
-from itertools import chain
+from itertools import chain, repeat
+from typing import NamedTuple
 
 import numpy as np
-import regex
-
-_BEFORE_SPACE = re.compile(r"(?<=\S) ")
-_ODD_BEFORE_SPACE = re.compile(r"[^\S ] ")
-
-
-def words_of(text: str) -> list[str]:
-    """For tokenizers that drop white space: pieces between spaces and line ends."""
-    return text.replace("\n", " ").split(" ")
-
-
-def spaced_units(text: str) -> list[str]:
-    """For byte-level tokenizers with the usual pattern, which puts one space before a word: cuts before each space
-    that follows other than white space. The pattern always ends a piece there, and what comes after a cut never
-    changes a piece before it."""
-    parts = text.split(" ")
-    first, *rest = parts if "" not in parts and not _ODD_BEFORE_SPACE.search(text) else _BEFORE_SPACE.split(text)
-    return [first, *map(" ".__add__, rest)]
-
-
-_SIMPLE = re.compile("[\\t\\n\\r -~\u00a1-\u017f]*")
-#: The patterns of the two pre-tokenizers.
-_WORD_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-_SPACED_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+import pyarrow as pa
 
 
 def _visible() -> dict[int, str]:
@@ -45,121 +26,103 @@ def _visible() -> dict[int, str]:
 VISIBLE = _visible()
 
 
-def word_pieces(unit: str) -> list[str]:
-    """What a lower-casing pre-tokenizer that keeps runs of letters, single digits and runs of other signs makes of a
-    unit; only for characters below U+0180, where all versions of Unicode agree and composition changes nothing."""
-    low = unit.lower()
-    return [low] if low.isalpha() else _WORD_PIECE.findall(low)
+def word_cuts(data: np.ndarray) -> np.ndarray:
+    """For tokenizers that drop white space: every space and line end."""
+    return np.flatnonzero((data == 0x20) | (data == 0x0A))
 
 
-def spaced_pieces(unit: str) -> list[str]:
-    """The same for the usual byte-level pattern, which keeps a space before a word."""
-    return [unit] if unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha()) else _SPACED_PIECE.findall(unit)
+def spaced_cuts(data: np.ndarray) -> np.ndarray:
+    """For byte-level tokenizers with the usual pattern, which puts one space before a word: spaces after a character that
+    is not white space. Characters before the space that might be are taken as such: control characters and all of
+    U+0800 and above, as well as U+0080 to U+00BF."""
+    space = np.flatnonzero(data == 0x20)
+    space = space[space > 0]
+    one = data[space - 1]
+    two = data[np.maximum(space, 2) - 2]
+    return space[((one > 0x20) & (one < 0x7F)) | ((one >= 0x80) & (two >= 0xC3) & (two < 0xE0))]
 
 
-class UnitEncoder:
-    """``split`` cuts a text into units whose ids, one after the other, are the ids of the text; units that recur, also
-    between batches, come from a cache of ``most`` units. Units that find it full are forgotten after the call; when
-    four times as many were, the cache starts anew.
+class Encoded(NamedTuple):
+    """``ids`` of all texts; ``units[k]`` is where unit k begins among them, ``texts[i]`` the first unit of text i.
+    ``distinct`` and ``index`` give the units' own texts."""
+
+    ids: np.ndarray
+    units: np.ndarray
+    texts: np.ndarray
+    distinct: list[str]
+    index: np.ndarray
+
+    def bounds(self) -> np.ndarray:
+        """Where each text begins among the ids; one entry more than texts."""
+        return self.units[self.texts]
+
+    def unit(self, k: int) -> str:
+        return self.distinct[self.index[k]]
 
-    ``pieces`` cuts a unit of common Latin characters as the tokenizer's own normaliser and pre-tokenizer do; the
-    tokenizer's merges are then applied to each piece. All other units go through the whole tokenizer.
-    """
 
-    def __init__(self, path: str, split: Callable[[str], list[str]], pieces: Callable[[str], list[str]], most: int = 400_000, long: int = 2000):
+class UnitEncoder:
+    """``cuts`` says where units begin in UTF-8. Ids of units that recur, also between batches, come from a cache of
+    ``most`` units; units that find it full are forgotten after the call, and when four times as many were, the cache
+    starts anew."""
+
+    def __init__(self, path: str, cuts, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.split, self.pieces, self.most, self.long = Tokenizer.from_file(path), split, pieces, most, long
+        self.tokenizer, self.cuts, self.most = Tokenizer.from_file(path), cuts, most
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        assert all(s.startswith("<") for s in self.special)
-        self.merges, self.end = self._fast_merges() or (None, b"")
+        # the library's merges without its normaliser and pattern, for runs of Latin letters that neither changes
+        self.plain = Tokenizer(self.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.plain.no_truncation()
+        self.plain.no_padding()
+        config = json.loads(self.tokenizer.to_str())
+        self.suffix = config["model"]["end_of_word_suffix"] or ""
+        self.lower = "Lowercase" in json.dumps(config["normalizer"])
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.length = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.length[i] = len(token.removesuffix(self.suffix) if self.suffix else token)
         self._clear()
 
     def _clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.piece_ids: dict[str, list[int]] = {}
         self.flat, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
         self.forgotten = 0
 
-    def encode_one(self, unit: str) -> list[int]:
-        """The ids of any text, by the whole tokenizer."""
-        return self.tokenizer.encode(unit, add_special_tokens=False).ids
-
-    def encode_piece(self, piece: str) -> list[int]:
-        """The merges alone, on one piece that the pre-tokenizer has cut."""
-        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(VISIBLE))]
-
-    def _fast_merges(self) -> tuple[Callable[[bytes], list[int]], bytes] | None:
-        """The merges by tiktoken, and what marks a piece's end there; None unless that must give the same ids.
-
-        It joins neighbours whose joint bytes are a token, the token with the lowest number first. That is the same as
-        the list of merges if numbers follow that list and every token is what its own bytes are encoded to: then two
-        neighbours that together are a token are always those that the list joins. A word's end is a byte that UTF-8
-        never has, joined to the byte before it ahead of all merges."""
-        from tiktoken import Encoding
-
-        config = json.loads(self.tokenizer.to_str())["model"]
-        suffix, text = config["end_of_word_suffix"] or "", {v: k for k, v in VISIBLE.items()}
-        if config["continuing_subword_prefix"] or config["unk_token"] or config["dropout"] or config["byte_fallback"] or config["ignore_merges"]:
-            return None
-        merged = [config["vocab"].get("".join(pair)) for pair in config["merges"]]
-        if None in merged or merged != sorted(merged) or merged[0] < 256 * (1 + bool(suffix)):
-            return None
-        inner = self.model
-        if suffix:  # the same merges inside a word, where no piece ends
-            from tokenizers.models import BPE
-
-            inner = BPE({t: i for t, i in config["vocab"].items() if not t.endswith(suffix)}, [tuple(m) for m in config["merges"] if not m[1].endswith(suffix)])
-        ranks: dict[bytes, int] = {}
-        for token, i in config["vocab"].items():
-            ended = bool(suffix) and token.endswith(suffix) and token != suffix
-            bare = token[: -len(suffix)] if ended else token
-            if token in self.special:
-                continue
-            if not set(bare) <= text.keys():
-                return None
-            if [t.id for t in (self.model if ended else inner).tokenize(bare)] != [i]:
-                return None
-            ranks[bytes(text[c] for c in bare) + b"\xff" * ended] = i
-        if suffix:
-            ranks.setdefault(b"\xff", max(ranks.values()) + 1)
-        whole = Encoding("merges", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={})
-        return whole._core_bpe.encode_single_piece, b"\xff" * bool(suffix)
-
-    def encode_long(self, unit: str) -> list[int]:
-        return self.encode_one(unit)
-
-    def _unit(self, unit: str) -> list[int]:
-        if len(unit) >= self.long:
-            return self.encode_long(unit)
-        if not (unit.isascii() and unit.isalpha()) and (not _SIMPLE.fullmatch(unit) or ("<" in unit and any(s in unit for s in self.special))):
-            return self.encode_one(unit)
-        pieces = self.pieces(unit)
-        if self.merges is None:
-            return [i for piece in pieces for i in self.encode_piece(piece)]
-        if len(pieces) == 1:
-            return self.merges(pieces[0].encode() + self.end)
-        out: list[int] = []
-        for piece in pieces:
-            ids = self.piece_ids.get(piece)
-            if ids is None:
-                ids = self.merges(piece.encode() + self.end)
-                if len(self.piece_ids) < self.most // 2:
-                    self.piece_ids[piece] = ids
-            out += ids
-        return out
+    def _letters(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number of units that are a space at most and letters from A to Z."""
+        bare = [u.lstrip(" \n") for u in units] if self.suffix else [u.replace(" ", VISIBLE[0x20]) for u in units]
+        bare = [u.lower() for u in bare] if self.lower else bare
+        joined = [" ".join(bare[a : a + 2000]) for a in range(0, len(bare), 2000)]
+        ids = np.fromiter(chain.from_iterable(e.ids for e in self.plain.encode_batch_fast(joined, add_special_tokens=False)), np.uint32)
+        ends = np.cumsum(np.fromiter(map(len, bare), np.int64, len(bare)))
+        last = np.searchsorted(np.cumsum(self.length[ids]), ends)  # of each unit; tokens are no empty texts
+        return ids, np.diff(last, prepend=-1)
+
+    def _whole(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any units, by the whole tokenizer."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
 
     def _learn(self, units: list[str]) -> None:
-        found = [self._unit(u) for u in units]
-        base = len(self.at)
-        self.at.update(zip(units, range(base, base + len(units)), strict=True))
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
-        self.sizes = np.concatenate([self.sizes, sizes])
+        letters, others = [], []
+        for u in units:
+            (letters if u.isascii() and (u.isalpha() or u[0] in " \n"[: 1 + bool(self.suffix)] and u[1:].isalpha()) else others).append(u)
+        flat, sizes = [self.flat], [self.sizes]
+        for some, encode in ((letters, self._letters), (others, self._whole)):
+            for a in range(0, len(some), 100_000):
+                part = some[a : a + 100_000]
+                ids, n = encode(part)
+                base = len(self.at)
+                self.at.update(zip(part, range(base, base + len(part)), strict=True))
+                flat.append(ids)
+                sizes.append(n)
+        self.flat, self.sizes = np.concatenate(flat), np.concatenate(sizes)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def _forget(self, fresh: list[str], kept: int) -> None:
@@ -172,27 +135,47 @@ class UnitEncoder:
         self.sizes, self.starts = self.sizes[:kept], self.starts[:kept]
         self.flat = self.flat[: int(self.sizes.sum())]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.split(t) for t in texts]
-        units = [u for us in split for u in us]
-        fresh = list(set(units) - self.at.keys())
-        kept = len(self.at)
+    def _split(self, texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+        """All units as one column, and the first unit of each text (one entry more than texts)."""
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        raw = texts.buffers()[2]
+        data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and offsets[-1] > offsets[0] else np.empty(0, np.uint8)
+        begins = (offsets - offsets[0]).astype(np.int64)
+        marks = np.zeros(len(data), bool)
+        marks[self.cuts(data)] = marks[begins[:-1][np.diff(begins) > 0]] = True
+        starts = np.flatnonzero(marks)
+        first = np.searchsorted(starts, begins)
+        ends = np.append(starts, len(data)).astype(np.int32)
+        return pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))), first
+
+    def encode(self, texts: list[str] | pa.Array) -> Encoded:
+        """No text may be null."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        units, first = self._split(column.cast(pa.string()) if column.type != pa.string() else column)
+        coded = units.dictionary_encode()
+        distinct, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        rows = np.fromiter(map(self.at.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new, kept = np.flatnonzero(rows < 0), len(self.at)
+        fresh = [distinct[i] for i in new.tolist()]
         if fresh:
             self._learn(fresh)
-        index = np.fromiter(map(self.at.__getitem__, units), np.int64, len(units))
-        sizes = self.sizes[index]
+            rows[new] = np.fromiter(map(self.at.__getitem__, fresh), np.int64, len(fresh))
+        sizes = self.sizes[rows]
         ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.starts[index] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        bounds = [0, *ends[np.cumsum([len(us) for us in split]) - 1].tolist()] if split else [0]
+        ids = self.flat[np.repeat(self.starts[rows] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
         if len(self.at) > self.most:
             self._forget(fresh, kept)
-        return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        table = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(np.concatenate([[0], 4 * ends])), pa.py_buffer(ids)])
+        whole = table.take(coded.indices)
+        at = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1] // 4 if len(whole) else np.zeros(1, np.int64)
+        flat = np.frombuffer(whole.buffers()[2], np.uint32)[: int(at[-1])] if at[-1] else np.empty(0, np.uint32)
+        return Encoded(flat, at, first, distinct, index)
 
 
 _encoders: dict[tuple, UnitEncoder] = {}
 
 
-def encoder(path: str, kind: Callable[[str], UnitEncoder]) -> UnitEncoder:
+def encoder(path: str, kind) -> UnitEncoder:
     """The worker's encoder for a tokenizer file; kept between tasks."""
     if (path, kind.__name__) not in _encoders:
         _encoders[path, kind.__name__] = kind(path)
@@ -200,4 +183,4 @@ def encoder(path: str, kind: Callable[[str], UnitEncoder]) -> UnitEncoder:
 
 
 def word_encoder(path: str) -> UnitEncoder:
-    return UnitEncoder(path, words_of, word_pieces)
+    return UnitEncoder(path, word_cuts)

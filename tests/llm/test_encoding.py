@@ -35,28 +35,40 @@ def test_words_are_full():
 @pytest.mark.parametrize("path, make", [(WORD, _units.word_encoder), (BYTE, tree_bpe.TreeEncoder)])
 def test_units_give_the_library_s_ids(path, make):
     rnd, enc, lib = random.Random(3), make(path), Tokenizer.from_file(path)
-    assert enc.merges is not None
     pieces = ["the", "in", "Ing", "é", "é", "ß", "日", "!", "***", " ", "  ", "\n", "\t", "'s", "'S", "12", "<|endoftext|>", "\x1c", " ", "ﬁ", "İ", "ª", "²", "_"]
     texts = [t or "" for t in TEXTS] + ["".join(rnd.choices(pieces, k=rnd.randrange(60))) for _ in range(400)]
-    for got, text in zip(enc.encode(texts), texts, strict=True):
-        assert got.tolist() == lib.encode(text, add_special_tokens=False).ids, text
+    found = enc.encode(texts)
+    for a, z, text in zip(found.bounds(), found.bounds()[1:], texts, strict=False):
+        assert found.ids[a:z].tolist() == lib.encode(text, add_special_tokens=False).ids, text
 
 
 def test_cache_forgets():
-    enc, lib = _units.UnitEncoder(WORD, _units.words_of, _units.word_pieces, most=20), Tokenizer.from_file(WORD)
+    enc, lib = _units.UnitEncoder(WORD, _units.word_cuts, most=20), Tokenizer.from_file(WORD)
     rnd = random.Random(1)
     for _ in range(30):
         text = " ".join("".join(rnd.choices("abcdefg", k=4)) for _ in range(30))
-        assert enc.encode([text])[0].tolist() == lib.encode(text, add_special_tokens=False).ids
+        assert enc.encode([text]).ids.tolist() == lib.encode(text, add_special_tokens=False).ids
 
 
-def test_joins_are_exact():
-    rnd, enc, lib = random.Random(5), tree_bpe.TreeEncoder(BYTE, leaf=5), Tokenizer.from_file(BYTE)
-    for _ in range(300):
-        text = "".join(rnd.choices(["in", "the", "er", "a", "ing", "é", "日", "--", "0", "<|endoftext|>"], k=rnd.randrange(1, 80)))
-        ids = enc.encode_long(text)
-        assert ids == lib.encode(text, add_special_tokens=False).ids
-        assert enc.decode(ids) == lib.decode(ids, skip_special_tokens=False)
+@pytest.mark.parametrize("leaf", [1, 2, 3, 5, 17])
+def test_joins_are_exact(leaf):
+    rnd, enc, lib = random.Random(leaf), tree_bpe.TreeEncoder(BYTE, leaf=leaf), Tokenizer.from_file(BYTE)
+    kinds = [["in", "the", "er", "a", "ing", "é", "日", "--", "0", "<|endoftext|>"], ["a", " ", "  ", "\n", "\t", "'s", "'", "r", "e", "l", "12", "!", "\u3000", "é", "<|end", "oftext|>"], [" word", " Other", ",", ".", "\n\n", "don't", "x"]]
+    texts = ["".join(rnd.choices(rnd.choice(kinds), k=rnd.randrange(1, 70))) for _ in range(300)] + ["z" * 700, " " * 90 + "x", "'" * 40 + "re", "", "ab" * 200 + "\n" * 50]
+    for text, ids in zip(texts, enc.encode_texts(texts), strict=True):
+        assert ids.tolist() == lib.encode(text, add_special_tokens=False).ids, text
+        assert enc.decode_all([ids])[0].decode() == lib.decode(ids.tolist(), skip_special_tokens=False)
+    assert enc.joins > 1000 and enc.windows > 50
+
+
+def test_ordinary_texts_go_through_the_tree():
+    import pyarrow.parquet as pq
+
+    enc, lib = tree_bpe.TreeEncoder(BYTE), Tokenizer.from_file(BYTE)
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()]
+    for text, ids in zip(texts, enc.encode_texts(texts), strict=True):
+        assert ids.tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert enc.joins >= sum(len(t) // tree_bpe.LEAF for t in texts) > 0 and enc.windows > 0
 
 
 def test_round_trip(spark, docs, empty):
@@ -89,11 +101,27 @@ def test_token_files(spark, docs, empty):
     assert simple8b.token_files(empty, WORD).count() == 0
 
 
+def test_long_texts_and_many_files(spark):
+    lib, long = Tokenizer.from_file(WORD), "Ab cde, é " * 3000
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([long, "x", "q" * 5000, long, None])], "doc_id long, text string").repartition(1)
+    from cohortlab.llm._common import fresh_path
+
+    root = fresh_path(spark, "tokens")
+    listing = simple8b.write_token_files(df, root, WORD, 1, tasks=2, file_ids=4000, slice_bytes=1000)
+    assert listing.count() > 2
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in simple8b.read_token_files(listing, root).collect()}
+    start = 0
+    for i, t in enumerate([long, "x", "q" * 5000, long, None]):
+        ids = [*lib.encode(t or "", add_special_tokens=False).ids, 1]
+        assert got[i] == (start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        start += len(ids)
+
+
 def test_files_find_one_document(tmp_path):
     from cohortlab.llm._files import Reader, write_file
 
     writer, docs = simple8b.Writer(block_ids=10), [(i, np.arange(i * 3, dtype=np.uint32)) for i in range(9)]
-    chunks = [c for d in docs for c in writer.add(*d)] + list(writer.close())
+    chunks = [c for i, x in docs for c in writer.add([i], x, np.array([len(x)]))] + list(writer.close())
     size = write_file(str(tmp_path), "x", chunks)
     assert [(i, ids.tolist()) for i, _, ids in simple8b.read_documents(Reader(str(tmp_path)), "x", size)] == [(i, ids.tolist()) for i, ids in docs]
     with pytest.raises(ValueError):
