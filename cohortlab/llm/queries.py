@@ -53,9 +53,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simple8b, op3_backoff_lm, op4_site_quality, op5_ngram_join, op6_tree_bpe, op7_lang_id, op8_media_png, op9_mixing, op10_warc)}
 
-_RULES = "\n  union all ".join(f"select '{rule}' as rule, {i} as step, {cut}::double as cutoff" for rule, cuts in quality_rules.CUTOFFS.items() for i, cut in enumerate(cuts))
-_N_RULES = len(quality_rules.CUTOFFS)
-_P = quality_rules.ALPHA / _N_RULES
+_STEPS = "\n  union all ".join(f"select {i} as step, " + ", ".join(f"{cuts[i]!r}::double as c_{rule}" for rule, cuts in quality_rules.CUTOFFS.items()) for i in range(8))
+_LOST = " or ".join(f"{rule} > c_{rule}" for rule in quality_rules.CUTOFFS)
+_P = quality_rules.ALPHA
 
 _QUALITY = f"""
 with d as (select doc_id, coalesce(lang, 'und') as stratum, coalesce(text, '') as t from documents),
@@ -72,19 +72,17 @@ b as (select w.doc_id, stratum, len(w)::bigint as n_words, length(translate(t, '
 s as (select *, (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed, n_symbols / greatest(word_chars, 1)::double as symbols,
         n_dup_lines / greatest(n_lines, 1)::double as dup_lines, n_repeat_words / greatest(n_words, 1)::double as repeats,
         n_capitals / greatest(word_chars, 1)::double as capitals, n_shouts / greatest(n_words, 1)::double as shouts from b),
-r as ({_RULES}),
-long as (unpivot (select doc_id, stratum, base_failed, symbols, dup_lines, repeats, capitals, shouts from s) on symbols, dup_lines, repeats, capitals, shouts into name rule value score),
+r as ({_STEPS}),
 good as (select doc_id from labels group by doc_id having min(coalesce(quality, 0)) = 1),
-c as (select stratum, rule, step, cutoff, count(*) as n, count(*) filter (score > cutoff) as k
-      from long join good using (doc_id) join r using (rule) where not base_failed group by all),
+worst as (select doc_id, min(stratum) as stratum, {", ".join(f"max({rule}) as {rule}" for rule in quality_rules.CUTOFFS)} from s join good using (doc_id) where not base_failed group by doc_id),
+c as (select stratum, step, count(*) as n, count(*) filter ({_LOST}) as k from worst cross join r group by all),
 p as (select *, case when k > n * {_P!r} then 1.0 else (select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_P!r}) + (n - i) * ln(1 - {_P!r}))) from (select unnest(range(0, k + 1)) as i)) end as p from c),
-v as (select *, p <= {quality_rules.DELTA!r} / ((select greatest(count(distinct stratum), 1) from c) * {_N_RULES}) as passed from p),
-stop as (select stratum, rule, coalesce(min(step) filter (not passed), 1000) as stop from v group by all),
-cut as (select stratum, rule, arg_max(cutoff, step) as cutoff from v join stop using (stratum, rule) where step < stop group by all),
-hit as (select doc_id, arg_min(rule, o) as rejected_by from (select doc_id, rule, score > cutoff as bad, case rule {" ".join(f"when '{x}' then {i}" for i, x in enumerate(quality_rules.CUTOFFS))} end as o
-        from long join cut using (stratum, rule) where not base_failed) where bad group by doc_id)
+v as (select *, p <= {quality_rules.DELTA!r} / (select greatest(count(distinct stratum), 1) from c) as passed from p),
+stop as (select stratum, coalesce(min(step) filter (not passed), 1000) as stop from v group by all),
+cut as (select stratum, max(step) as step from v join stop using (stratum) where step < stop group by all)
 select s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rejected_by is null as kept, rejected_by, stratum
-from s left join hit using (doc_id)
+from (select s.*, case when base_failed then null {" ".join(f"when {rule} > c_{rule} then '{rule}'" for rule in quality_rules.CUTOFFS)} end as rejected_by
+      from s left join cut using (stratum) left join r using (step)) s
 """
 
 

@@ -60,6 +60,24 @@ def test_cutoffs_hold_the_risk(spark):
     assert quality_rules.choose_cutoffs(scored, few, alpha=0.1, delta=0.05, cutoffs=grid).count() == 0
 
 
+def test_cutoffs_take_effect_on_the_given_tables(spark):
+    sf = "/root/testdata/sf0.01"
+    got = QUERIES["op1_quality_rules"](spark, sf)
+    assert_same(got, connect(sf), ORACLE["op1_quality_rules"])
+    rows = got.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed").collect()
+    assert sum(r.rejected_by is not None for r in rows if r.quality == 0) > 10
+    assert not any(r.rejected_by for r in rows if r.quality == 1 and r.stratum == "en")
+
+
+def test_a_labelled_document_is_one_trial(spark):
+    one = spark.createDataFrame([(1, "a", False, 0.0)], "doc_id long, stratum string, base_failed boolean, r double")
+    many = one.crossJoin(spark.range(500)).drop("id")
+    labels = spark.createDataFrame([(1, 1), (1, 1)], "doc_id long, quality int")
+    assert quality_rules.choose_cutoffs(many, labels, cutoffs={"r": (0.5,)}).count() == 0
+    trials = spark.range(500).selectExpr("id as doc_id", "'a' as stratum", "false as base_failed", "0d as r")
+    assert quality_rules.choose_cutoffs(trials, trials.selectExpr("doc_id", "1 as quality"), cutoffs={"r": (0.5,)}).count() == 1
+
+
 def test_site_classifier(spark, docs, no_labels, empty):
     big, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = site_quality.classify(big, labels).join(labels, "doc_id")
