@@ -1,9 +1,13 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
-Temperature mixing: a source with share p of all tokens gets a weight proportional to p^a. The exponent a is found by
-sections of the interval [0, 1], many candidates a pass and all of them in one grouped sum, which is bisection with a
-wider step: it is the smallest a (the flattest mix) for which the entropy stays at or below the target and no source is
-repeated more than the limit. a = 1 leaves the shares as they are.
+Temperature mixing: a source with share p of all tokens gets a weight proportional to p^a. The exponent a is bisected
+until the entropy of the weights meets the target: below 1 it flattens the mix, above 1 it sharpens it. If that mix would
+repeat a source more than the limit, a is bisected between there and 1 until it does not. Entropy falls as a grows, and
+repetition falls towards a = 1 from either side, so each search has one answer. a = 1, the shares as they are, stands where
+no exponent meets the target (equal shares, one source) and where the budget alone breaks the limit.
+
+Bisection runs over t in [0, 1) with a = t / (1 - t). The midpoints of ``HALVINGS`` halvings are all tried in one grouped
+job, which finds the interval that as many single steps would, and ``PASSES`` such jobs follow one another.
 
 The weights are realised as budgeted permutations of blocks. Each source is cut into ``blocks`` blocks by a hash of the
 document; in every epoch the blocks stand in another order, given by a hash of (source, epoch, block). A source with a
@@ -25,8 +29,8 @@ from pyspark.sql.window import Window
 from ._common import joined_small, save
 
 BLOCKS, MAX_REPEAT, TARGET_EVENNESS, SEED = 512, 4.0, 0.97, 20240229
-#: Candidates a pass, and passes; the exponent is exact to CANDIDATES ** -PASSES.
-CANDIDATES, PASSES = 128, 3
+#: Halvings a job, and jobs; t is exact to 2 ** -(HALVINGS * PASSES).
+HALVINGS, PASSES = 7, 3
 #: Blocks of all sources that are sent to all tasks at most; with more they are joined by a shuffle.
 MOST_BROADCAST = 200_000
 
@@ -41,27 +45,36 @@ def _hash(*cols: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("/", *[c.cast("string") for c in cols])), 1, 12), 16, 10).cast("long")
 
 
-def find_exponent(sizes: DataFrame, budget: float = 1.0, max_repeat: float = MAX_REPEAT, evenness: float = TARGET_EVENNESS) -> float:
-    """The smallest exponent in [0, 1] whose mix of ``sizes`` (``source, tokens``) has an entropy of at most
-    ``evenness`` of the greatest possible and repeats no source more than ``max_repeat`` times, for a budget of
-    ``budget`` times all tokens; 1 if there is none. Both fall as the exponent grows for as long as it is below 1."""
-    head = sizes.agg(F.sum("tokens").alias("all"), F.count(F.lit(1)).alias("n"))
-    shares = sizes.crossJoin(F.broadcast(head)).select((F.col("tokens") / F.col("all")).alias("p"), "n")
-    low, high = 0.0, 1.0
+def _bisect(shares: DataFrame, t_of: str, meets: Column) -> float | None:
+    """The least u on the grid of [0, 1] for which the mix at ``t_of`` (SQL over u) meets a condition that, once met, is
+    met for every greater u; None if it is not met at any u below 1."""
+    low, step, found = 0.0, 1.0, None
     for _ in range(PASSES):
-        step = (high - low) / CANDIDATES
-        tried = shares.select("p", "n", F.explode(F.expr(f"transform(sequence(0, {CANDIDATES}), i -> {low!r}d + i * {step!r}d)")).alias("a"))
+        step /= 1 << HALVINGS
+        tried = shares.select("p", "n", F.explode(F.expr(f"transform(sequence(0, {1 << HALVINGS}), i -> {low!r}d + i * {step!r}d)")).alias("u")).withColumn("t", F.expr(t_of)).where("t < 1")
+        tried = tried.withColumn("a", F.col("t") / (1 - F.col("t")))
         w = F.pow("p", F.col("a"))
-        per = tried.groupBy("a").agg(F.sum(w).alias("z"), F.sum(w * F.col("a") * F.log("p")).alias("s"), F.max(w / F.col("p")).alias("r"), F.max("n").alias("n"))
-        entropy = F.log("z") - F.col("s") / F.col("z")
-        fits = (entropy <= evenness * F.log(F.greatest("n", F.lit(2)).cast("double")) + 1e-12) & (budget * F.col("r") / F.col("z") <= max_repeat)
-        first = per.agg(F.min(F.when(fits, F.col("a"))).alias("a")).first()["a"]
+        per = tried.groupBy("u").agg(F.sum(w).alias("z"), F.sum(w * F.col("a") * F.log("p")).alias("s"), F.max(w / F.col("p")).alias("r"), F.max("n").alias("n"))
+        first = per.agg(F.min(F.when(meets, F.col("u"))).alias("u")).first()["u"]
         if first is None:
-            return 1.0
-        if first <= low:
-            return low
-        low, high = first - step, first
-    return high
+            return found
+        found, low = first, max(first - step, 0.0)
+    return found
+
+
+def find_exponent(sizes: DataFrame, budget: float = 1.0, max_repeat: float = MAX_REPEAT, evenness: float = TARGET_EVENNESS) -> float:
+    """The exponent whose mix of ``sizes`` (``source, tokens``) has an entropy of ``evenness`` of the greatest possible or,
+    where that repeats a source more than ``max_repeat`` times for a budget of ``budget`` times all tokens, the nearest to
+    it that does not."""
+    head = sizes.agg(F.sum("tokens").alias("all"), F.count(F.lit(1)).alias("n"))
+    shares = sizes.crossJoin(F.broadcast(head)).select((F.col("tokens") / F.col("all")).alias("p"), "n")
+    entropy = F.log("z") - F.col("s") / F.col("z")
+    t = _bisect(shares, "u", entropy <= evenness * F.log(F.greatest("n", F.lit(2)).cast("double")) + 1e-12)
+    if t is None:
+        return 1.0
+    u = _bisect(shares, f"{t!r}d + u * (0.5d - {t!r}d)", budget * F.col("r") / F.col("z") <= max_repeat)
+    t = 0.5 if u is None else t + u * (0.5 - t)
+    return t / (1 - t)
 
 
 def plan_blocks(sized: DataFrame, budget: float = 1.0, blocks: int = BLOCKS, seed: int = SEED, max_repeat: float = MAX_REPEAT, evenness: float = TARGET_EVENNESS) -> DataFrame:

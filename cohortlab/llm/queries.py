@@ -88,22 +88,33 @@ from (select s.*, case when base_failed then null {" ".join(f"when {rule} > c_{r
 
 def _mixing_sql() -> str:
     m = mixing
-    fits = f"ln(z) - s / z <= {m.TARGET_EVENNESS!r} * ln(greatest(n, 2)) + 1e-12 and r / z <= {m.MAX_REPEAT!r}"
     digest = "('0x' || substr(md5({}), 1, 12))::bigint"
-    passes, low, step = [], "0.0::double", 1.0 / m.CANDIDATES
-    for i in range(m.PASSES):
-        passes.append(f"""t{i} as (select a, sum(pow(p, a)) as z, sum(pow(p, a) * a * ln(p)) as s, max(pow(p, a) / p) as r, max(n) as n
-    from share cross join (select {low} + j * {step!r}::double as a from (select unnest(range(0, {m.CANDIDATES + 1})) as j)) group by a),
-  a{i} as (select coalesce(min(a), 1.0) as a from t{i} where {fits})""")
-        low, step = f"greatest((select a from a{i}) - {step!r}::double, 0.0)", step / m.CANDIDATES
+    many = 1 << m.HALVINGS
+
+    def bisected(name: str, t_of: str, fits: str) -> str:
+        """Tables that end in one row of ``name``: u, null if the first pass has found none."""
+        out, low, step = [], "0.0::double", 1.0
+        for i in range(m.PASSES):
+            step /= many
+            out.append(f"""{name}_t{i} as (select u, sum(pow(p, a)) as z, sum(pow(p, a) * a * ln(p)) as s, max(pow(p, a) / p) as r, max(n) as n
+    from (select *, t / (1 - t) as a from (select p, n, u, {t_of} as t from share cross join (select {low} + j * {step!r}::double as u from (select unnest(range(0, {many + 1})) as j))) where t < 1) group by u),
+  {name}_{i} as (select min(u) filter ({fits}) as u from {name}_t{i})""")
+            low = f"greatest((select u from {name}_{i}) - {step!r}::double, 0.0)"
+        return ",\n  ".join(out)
+
+    last = m.PASSES - 1
+    chains = bisected("e", "u", f"ln(z) - s / z <= {m.TARGET_EVENNESS!r} * ln(greatest(n, 2)) + 1e-12") + f""",
+  th as (select u as t from e_{last}),
+  """ + bisected("f", "(select t from th) + u * (0.5::double - (select t from th))", f"r / z <= {m.MAX_REPEAT!r}") + f""",
+  tt as (select coalesce(t + u * (0.5::double - t), 0.5) as t from th, f_{last})"""
     return f"""
 with d as (select doc_id, coalesce(source, '') as source, greatest(len(string_split(trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')), ' ')), 1)::bigint as n_tokens,
     ({digest.format(f"'{m.SEED}/' || coalesce(doc_id::varchar, '')")} % {m.BLOCKS})::int as block from documents),
   bl as (select source, block, sum(n_tokens)::double as tokens from d group by all),
   so as (select source, sum(tokens) as size from bl group by all),
   share as (select size / (select sum(size) from so) as p, (select count(*) from so) as n from so),
-  {",".join(passes)},
-  x as (select a from a{m.PASSES - 1}),
+  {chains},
+  x as (select t / (1 - t) as a from tt),
   q as (select source, size, pow(size, a) / (select sum(pow(size, x.a)) from so, x) as weight, pow(size, a) / (select sum(pow(size, x.a)) from so, x) * (select sum(size) from so) as quota, a as exponent from so, x),
   e as (select *, unnest(range(0, ceil(quota / size)::int + 1))::int as epoch from q),
   o as (select source, block, epoch, tokens, size, quota, weight, exponent, {digest.format(f"'{m.SEED}/' || source || '/' || epoch || '/' || block")} as o from bl join e using (source)),

@@ -161,7 +161,25 @@ def test_exponent_meets_the_targets(spark):
     assert entropy(a) <= 0.8 < entropy(a - 1e-5)
     a = mixing.find_exponent(sizes, max_repeat=3.0, evenness=1.0)
     assert repeat(a) <= 3 < repeat(a - 1e-5)
-    assert mixing.find_exponent(sizes.where("false")) == 1.0
+    a = mixing.find_exponent(sizes, max_repeat=1e9, evenness=0.2)  # sharper than the shares are
+    assert 1 < a and entropy(a) <= 0.2 < entropy(a - 1e-5)
+    even = spark.createDataFrame([("a", 5), ("b", 5)], "source string, tokens long")
+    assert mixing.find_exponent(sizes.where("false")) == mixing.find_exponent(even) == mixing.find_exponent(sizes, budget=9.0, evenness=0.8) == 1.0
+    steep = spark.createDataFrame([("a", 500), ("b", 300), ("c", 200)], "source string, tokens long")
+    q = np.array([0.5, 0.3, 0.2])
+    a = mixing.find_exponent(steep, max_repeat=1.2, evenness=0.3)
+    assert 1 < a and max(q**a / (q**a).sum() / q) <= 1.2 < max(q ** (a + 1e-5) / (q ** (a + 1e-5)).sum() / q)
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_mixing_takes_effect_on_the_given_tables(spark, sf):
+    sf = f"/root/testdata/sf{sf}"
+    got = QUERIES["op9_mixing"](spark, sf)
+    assert_same(got, connect(sf), ORACLE["op9_mixing"])
+    p = got.toPandas()
+    w = p.groupby("source").weight.first().to_numpy()
+    assert abs(-(w * np.log(w)).sum() / np.log(len(w)) - mixing.TARGET_EVENNESS) < 1e-4
+    assert p.exponent.nunique() == 1 and abs(p.exponent.iloc[0] - 1) > 0.1 and p.epoch.max() > 0
 
 
 def test_mix_follows_its_weights(spark, docs, empty):
