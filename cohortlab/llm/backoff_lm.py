@@ -1,4 +1,4 @@
-"""Language-model scores of a weighted backoff automaton over word n-grams, its recursion evaluated directly.
+"""Language-model scores of a weighted backoff automaton over word n-grams.
 
 States are the histories of up to ``order - 1`` words seen in training, arcs the n-grams. In state h, a word w with
 c(hw) > 0 has an arc of weight log10 P(w | h) to the longest state that hw ends in; any other word takes the failure arc
@@ -6,21 +6,28 @@ of h, of weight log10 of the mass that h leaves to its shorter history, and is t
 ``P(w | h) = (c(hw) + mu P(w | h')) / (c(h) + mu)``, so a state leaves ``mu / (c(h) + mu)``; at the root a known word has
 ``(1 - u) c / N`` and all unknown words together have u, the share of words seen once. All weights of a state sum to 1.
 
-The automaton of the whole corpus is never in one place. Documents are numbered into chunks; each chunk asks for the
-n-grams it holds, as sorted 64-bit keys with its own training counts; buckets of the key space add up the counts of all
-chunks and answer every chunk in the order it asked, in one file a bucket with an index by chunk. A chunk then reads its
-answers, which are the counts of its slice of the automaton, and evaluates the recursion from the root up at all positions
-at once in numpy: no state is carried and no arcs are built, the scores are those of the traversal. Every chunk holds a key once, however often it occurs there, so a word that is in every document weighs
-no more on its bucket than any other. Keys are 64-bit hashes; two of n distinct n-grams collide with a probability of
-n^2 / 2^65 (under 1e-4 for 5e7, and then change two counts).
-
-Defined cases: a null text is empty; an empty text is its end alone; a null id is not held out; without training tokens
-N is 0 and u is 1/2; rows that repeat count and score each; an empty table gives an empty table; other columns are
-ignored, whatever their names.
+The automaton of the whole corpus is never in one place: a chunk of documents gets the slice of it that its words can
+reach (``Automaton``). Chunks are files in the shared folder. Each asks for the n-grams it holds, as sorted 64-bit keys
+with its own training counts; buckets of the key space add up the counts of all chunks and answer every chunk in the order
+it asked; the answers come back to the chunk by a grouped shuffle. Questions and answers are blocks of many keys, at
+most as many as there are keys, so all work is in proportion to the corpus. A chunk asks for a key once, however often it
+occurs there, so a word that is in every document weighs no more on its bucket than any other.
+
+The chunk then lays out states, arcs and failure arcs and goes through its documents once from left to right. Lanes of
+``LANE`` words go side by side in numpy, each with a state of its own that every word moves on: along its arc, or down
+failure arcs until a state has one. A lane that begins inside a document reads the ``order - 1`` words before it first,
+after which its state is the one that the whole document would have carried there.
+
+Keys are 64-bit hashes; two of n distinct n-grams collide with a probability of n^2 / 2^65 (under 1e-4 for 5e7, and then
+change two counts). Defined cases: a null text is empty; an empty text is its end alone; a null id is not held out;
+without training tokens N is 0 and u is 1/2; rows that repeat count and score each; a very long text is a chunk of its own
+and scored whole; ties don't occur, as nothing is ranked; an empty table gives an empty table; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import struct
 import uuid
 from collections.abc import Iterator
 
@@ -35,8 +42,9 @@ from ._common import by_bytes, frame, fresh_path, mix64, save, utf8
 from ._files import Reader, write_file
 
 ORDER, MU = 3, 100.0
-#: Bytes of text in a chunk; n-grams asked for in a bucket, by all chunks together; buckets of an order at least.
-CHUNK_BYTES, BUCKET_KEYS, LEAST_BUCKETS = 12 << 20, 3_000_000, 96
+#: Bytes of text in a chunk; n-grams asked for in a bucket, by all chunks together; buckets of an order at least; words of
+#: a lane.
+CHUNK_BYTES, BUCKET_KEYS, LEAST_BUCKETS, LANE = 6 << 20, 2_000_000, 96, 256
 _END, _START, _STEP = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -49,24 +57,28 @@ class _Numbers(dict):
 
 
 def _squeeze(values: np.ndarray) -> bytes:
-    """Integers by byte planes, so that high bytes, which are mostly equal, cost nothing."""
+    """Integers by byte planes, each compressed alone: high bytes, mostly equal, cost little, and random ones their size."""
     wide = np.ascontiguousarray(values)
-    return zstandard.compress(wide.view(np.uint8).reshape(len(wide), wide.itemsize).T.tobytes(), 1)
+    planes = wide.view(np.uint8).reshape(len(wide), wide.itemsize).T
+    parts = [plane.tobytes() if len(wide) < 64 else zstandard.compress(plane.tobytes(), 1) for plane in planes]
+    return struct.pack(f"<{len(parts) + 1}I", len(wide), *map(len, parts)) + b"".join(parts)
 
 
 def _unsqueeze(data: bytes, dtype) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
     size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).ravel()
+    n, *sizes = struct.unpack_from(f"<{size + 1}I", data)
+    out, at = np.empty((n, size), np.uint8), 4 * (size + 1)
+    for i, length in enumerate(sizes):
+        part = data[at : at + length]
+        out[:, i] = np.frombuffer(part if n < 64 else zstandard.decompress(part), np.uint8)
+        at += length
+    return out.view(dtype).ravel()
 
 
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-_CHUNK = "part int, seq int, n_keys array<long>, ids binary, held binary, lens binary, tokens binary, words binary"
-
-
 def _keys(hashes: np.ndarray, lens: np.ndarray, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For n = 1 to ``order``: the key of the n-gram that ends at each position, and where there is one."""
     first = np.zeros(len(hashes), bool)
@@ -83,190 +95,284 @@ def _keys(hashes: np.ndarray, lens: np.ndarray, order: int) -> tuple[list[np.nda
     return keys, valid
 
 
-def to_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Documents as chunks of numbered words; a row a chunk."""
+_CHUNK = "part int, seq int, name string, offset long, length long, n_keys array<long>, training long"
+
+
+def to_chunks(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Write documents as chunks of numbered words below ``root``, a file a task; returns a row a chunk: where it is, how
+    many n-grams of each order it may ask for, and its training documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part, seq = TaskContext.get().partitionId(), 0
+        part, name, made = TaskContext.get().partitionId(), f"{uuid.uuid4().hex}.words", []
         numbers, ids, held, lens, tokens, size = _Numbers(), [], [], [], [], 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> bytes:
             words = np.array([int(_END), *(xxhash.xxh64_intdigest(w) for w in numbers)], np.uint64)
             flat, n = np.concatenate(tokens), np.array(lens, np.uint32)
-            keys, valid = _keys(words[flat], n, order)
-            n_keys = [int(len(words)), *(int(v.sum()) for v in valid[1:])]
             null = np.array([i is None for i in ids], np.uint8)
-            packed = _squeeze(np.array([i or 0 for i in ids], np.int64))
-            return frame([(part, seq, n_keys, packed, zstandard.compress((np.array(held, np.uint8) + 2 * null).tobytes()), _squeeze(n), _squeeze(flat), words.tobytes())], [c.split()[0] for c in _CHUNK.split(", ")])
-
-        for b in batches:
-            texts = b["t"].tolist()
-            for a, z in by_bytes([len(t) for t in texts], 1 << 20):
-                split = [t.lower().split() for t in texts[a:z]]
-                n = np.array([len(ws) + 1 for ws in split])
-                flat = np.zeros(int(n.sum()), np.uint32)
-                inner = np.ones(len(flat), bool)
-                inner[np.cumsum(n) - 1] = False
-                flat[inner] = np.fromiter((numbers[w] for ws in split for w in ws), np.uint32, int(inner.sum()))
-                tokens.append(flat)
-                lens.extend(n.tolist())
-                ids.extend(None if pd.isna(i) else int(i) for i in b["id"].iloc[a:z])
-                held.extend(b["held"].iloc[a:z])
-                size += sum(map(len, texts[a:z]))
-                if size >= chunk_bytes:
-                    yield flush()
-                    numbers, ids, held, lens, tokens, size, seq = _Numbers(), [], [], [], [], 0, seq + 1
-        if tokens:
-            yield flush()
+            marks = np.array(held, np.uint8) + 2 * null
+            parts = [_squeeze(np.array([i or 0 for i in ids], np.int64)), _squeeze(marks), _squeeze(n), _squeeze(flat), words.tobytes()]
+            data = struct.pack("<5Q", *map(len, parts)) + b"".join(parts)
+            offset = made[-1][3] + made[-1][4] if made else 0
+            made.append((part, len(made), name, offset, len(data), [len(words), *[len(flat)] * (order - 1)], int((marks & 1 == 0).sum())))
+            return data
+
+        def blobs() -> Iterator[bytes]:
+            nonlocal numbers, ids, held, lens, tokens, size
+            for b in batches:
+                texts = b["t"].tolist()
+                for a, z in by_bytes([len(t) for t in texts], 1 << 20):
+                    split = [t.lower().split() for t in texts[a:z]]
+                    n = np.array([len(ws) + 1 for ws in split])
+                    flat = np.zeros(int(n.sum()), np.uint32)
+                    inner = np.ones(len(flat), bool)
+                    inner[np.cumsum(n) - 1] = False
+                    flat[inner] = np.fromiter((numbers[w] for ws in split for w in ws), np.uint32, int(inner.sum()))
+                    tokens.append(flat)
+                    lens.extend(n.tolist())
+                    ids.extend(None if pd.isna(i) else int(i) for i in b["id"].iloc[a:z])
+                    held.extend(b["held"].iloc[a:z])
+                    size += sum(map(len, texts[a:z]))
+                    if size >= chunk_bytes:
+                        yield flush()
+                        numbers, ids, held, lens, tokens, size = _Numbers(), [], [], [], [], 0
+            if tokens:
+                yield flush()
+
+        it = blobs()
+        if (first := next(it, None)) is not None:
+            write_file(root, name, _chain(first, it))
+            yield frame(made, [c.split()[0] for c in _CHUNK.split(", ")])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col).alias("held"), utf8(text_col).alias("t"))
-    return rows.mapInPandas(run, _CHUNK)
-
-
-class _Chunk:
-    def __init__(self, row, order: int):
-        self.lens = _unsqueeze(row.lens, np.uint32).astype(np.int64)
-        marks = np.frombuffer(zstandard.decompress(row.held), np.uint8)
-        self.held, null = (marks & 1).astype(bool), marks >= 2
-        self.ids = [None if x else i for i, x in zip(_unsqueeze(row.ids, np.int64).tolist(), null.tolist(), strict=True)]
-        hashes = np.frombuffer(row.words, np.uint64)[_unsqueeze(row.tokens, np.uint32)]
-        self.keys, self.valid = _keys(hashes, self.lens, order)
-
-    def distinct(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The n-gram keys, ascending, and for each valid position the place of its key among them."""
-        return np.unique(self.keys[n - 1][self.valid[n - 1]], return_inverse=True)
-
+    return save(rows.mapInPandas(run, _CHUNK), "lm-chunks")
 
-def _bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each of ``buckets`` equal ranges of the key space begins and ends among ascending ``keys``."""
-    edges = [(i << 64) // buckets for i in range(1, buckets)]
-    return np.concatenate([[0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]])
 
+def _chain(first: bytes, rest: Iterator[bytes]) -> Iterator[bytes]:
+    yield first
+    yield from rest
 
-def _chunk_numbers(chunks: DataFrame) -> dict[int, int]:
-    """Of each part, how many chunks come before it; one number a partition of the input."""
-    rows = sorted((r["part"], r["count"]) for r in chunks.groupBy("part").count().collect())
-    ends = np.cumsum([n for _, n in rows]).tolist()
-    return {part: end - n for (part, n), end in zip(rows, ends, strict=True)}
 
-
-def _ask(chunks: DataFrame, numbers: dict[int, int], buckets: list[int]) -> DataFrame:
+class _Chunk:
+    """``words``: numbers of the words one after the other; ``place[n - 1]``: at each position, which of the distinct
+    n-grams ends there (ascending by key; -1 where a document has none yet); ``first[n - 1]``: a position of each."""
+
+    def __init__(self, data: bytes, order: int):
+        sizes = struct.unpack_from("<5Q", data)
+        ends = np.cumsum([40, *sizes]).tolist()
+        ids, marks, lens, words, hashes = (data[a:z] for a, z in zip(ends, ends[1:], strict=False))
+        self.lens = _unsqueeze(lens, np.uint32).astype(np.int64)
+        marks = _unsqueeze(marks, np.uint8)
+        self.held, null = (marks & 1).astype(bool), marks >= 2
+        self.ids = [None if x else i for i, x in zip(_unsqueeze(ids, np.int64).tolist(), null.tolist(), strict=True)]
+        self.words = _unsqueeze(words, np.uint32)
+        self.order, self.keys, self.first, self.place = order, [], [], []
+        keys, valid = _keys(np.frombuffer(hashes, np.uint64)[self.words], self.lens, order)
+        for k, v in zip(keys, valid, strict=True):
+            at = np.flatnonzero(v)
+            found, first, back = np.unique(k[at], return_index=True, return_inverse=True)
+            place = np.full(len(v), -1, np.int32)
+            place[at] = back
+            self.keys.append(found)
+            self.first.append(at[first])
+            self.place.append(place)
+
+    def counts(self, n: int) -> np.ndarray:
+        """How often each distinct n-gram occurs in the chunk's training documents."""
+        train = np.repeat(~self.held, self.lens) & (self.place[n - 1] >= 0)
+        return np.bincount(self.place[n - 1][train], minlength=len(self.keys[n - 1])).astype(np.uint32)
+
+
+def _cuts(keys: np.ndarray, buckets: int) -> tuple[list[int], list[int]]:
+    """The buckets that ascending ``keys`` fall into, in equal ranges of the key space, and where each begins; the last
+    entry ends them."""
+    of = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    at = np.flatnonzero(np.diff(of, prepend=np.uint64(2**64 - 1)))
+    return of[at].tolist(), [*at.tolist(), len(keys)]
+
+
+def _ask(chunks: DataFrame, root: str, buckets: list[int]) -> DataFrame:
     """Per chunk, order and bucket: the keys, and how often each occurs in the chunk's training documents."""
-    sent = chunks.sparkSession.sparkContext.broadcast(numbers)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = Reader(root)
         for b in batches:
             for row in b.itertuples(index=False):
-                chunk = _Chunk(row, len(buckets))
-                train = np.repeat(~chunk.held, chunk.lens)
+                chunk = _Chunk(reader.read(row.name, row.offset, row.length), len(buckets))
                 for n, many in enumerate(buckets, 1):
-                    keys, place = chunk.distinct(n)
-                    counts = np.bincount(place, train[chunk.valid[n - 1]], len(keys)).astype(np.uint32)
-                    cuts = _bounds(keys, many)
-                    out = []
-                    for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        if z > a:
-                            out.append((n, k, sent.value[row.part] + row.seq, _squeeze(np.diff(keys[a:z], prepend=np.uint64(0))), _squeeze(counts[a:z])))
-                    yield frame(out, ["n", "bucket", "chunk", "keys", "counts"])
+                    keys, counts = chunk.keys[n - 1], chunk.counts(n)
+                    asked, cuts = _cuts(keys, many)
+                    out = [(n, k, row.part, row.seq, _squeeze(np.diff(keys[a:z], prepend=np.uint64(0))), _squeeze(counts[a:z])) for k, a, z in zip(asked, cuts, cuts[1:], strict=False)]
+                    yield frame(out, ["n", "bucket", "part", "seq", "keys", "counts"])
+        reader.close()
 
-    return chunks.mapInPandas(run, "n int, bucket int, chunk int, keys binary, counts binary")
+    return chunks.select("part", "seq", "name", "offset", "length").mapInPandas(run, "n int, bucket int, part int, seq int, keys binary, counts binary")
 
 
-_ANSWER = "n int, bucket int, name string, tokens long, distinct long, singles long"
+_ANSWER = "n int, bucket int, part int, seq int, counts binary, tokens long, distinct long, singles long"
 
 
-def _answer(asked: DataFrame, root: str, n_chunks: int) -> DataFrame:
-    """Add up every bucket and write its answers: offsets by chunk, then the totals in each chunk's order."""
+def _answer(asked: DataFrame) -> DataFrame:
+    """Add up every bucket: a row a chunk that asked, with the totals in its order. The first row of a bucket has its
+    training tokens, its n-grams and those seen once."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
         keys = [np.cumsum(_unsqueeze(x, np.uint64), dtype=np.uint64) for x in pdf["keys"]]
         counts = np.concatenate([_unsqueeze(x, np.uint32) for x in pdf["counts"]])
-        cuts = np.cumsum([0, *map(len, keys)])
+        cuts = np.cumsum([0, *map(len, keys)]).tolist()
         found, place = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(place, counts, len(found)).astype(np.uint64)
-        answers = [_squeeze(total[place[a:z]]) for a, z in zip(cuts, cuts[1:], strict=False)]
-        sizes = np.zeros(n_chunks, np.uint64)
-        sizes[pdf["chunk"].to_numpy()] = [len(x) for x in answers]
-        index = np.concatenate([[np.uint64(0)], np.cumsum(sizes, dtype=np.uint64)]) + np.uint64(8 * (n_chunks + 1))
-        name = f"{uuid.uuid4().hex}.counts"
-        write_file(root, name, [index.astype("<u8").tobytes(), *answers])
-        return frame([(int(pdf["n"].iloc[0]), int(pdf["bucket"].iloc[0]), name, int(total.sum()), int((total > 0).sum()), int((total == 1).sum()))], [c.split()[0] for c in _ANSWER.split(", ")])
-
-    return save(asked.groupBy("n", "bucket").applyInPandas(run, _ANSWER), "lm-buckets")
-
-
-def arc_weights(counts: list[np.ndarray], contexts: list[np.ndarray], total: int, unknown: float, mu: float = MU) -> np.ndarray:
-    """log10 of the probability at every position. ``counts[n - 1]`` is the training count of the n-gram that ends
-    there, ``contexts[n - 1]`` that of its history (0: not a state). From the root up: where the history is a state,
-    the word's own arc if the n-gram was seen, else the failure arc and what the shorter history gives."""
-    with np.errstate(divide="ignore"):
-        out = np.where(counts[0] > 0, np.log10((1 - unknown) * counts[0] / max(total, 1)), np.log10(unknown))
-    for c, h in zip(counts[1:], contexts[1:], strict=True):
-        arc = np.log10((c + mu * 10.0**out) / (h + mu))
-        fail = np.log10(mu / (h + mu))
-        out = np.where(h > 0, np.where(c > 0, arc, out + fail), out)
-    return out
-
-
-def _score(chunks: DataFrame, numbers: dict[int, int], buckets: list[list[str]], root: str, total: int, distinct: int, unknown: float, ends: int, mu: float) -> DataFrame:
-    spark = chunks.sparkSession
-    sent = spark.sparkContext.broadcast((numbers, buckets))
-    names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers, buckets = sent.value
-        reader = Reader(root)
-        for b in batches:
-            for row in b.itertuples(index=False):
-                chunk, me = _Chunk(row, len(buckets)), numbers[row.part] + row.seq
-                starts = np.cumsum(chunk.lens) - chunk.lens
-                counts, contexts = [], []
-                for n, files in enumerate(buckets, 1):
-                    keys, place = chunk.distinct(n)
-                    answers = []
-                    for name, (a, z) in zip(files, zip(cuts := _bounds(keys, len(files)), cuts[1:], strict=False), strict=True):
-                        if z > a:
-                            lo, hi = np.frombuffer(reader.read(name, 8 * me, 16), "<u8").tolist()
-                            answers.append(_unsqueeze(reader.read(name, lo, hi - lo), np.uint64))
-                    here = np.zeros(len(chunk.keys[0]))
-                    here[chunk.valid[n - 1]] = (np.concatenate(answers) if answers else np.zeros(len(keys)))[place]
-                    history = np.zeros(len(here))
-                    if n > 1:
-                        history[1:] = counts[-1][:-1]
-                        history[starts] = ends if n == 2 else 0
-                        history[~chunk.valid[n - 1]] = 0
-                    counts.append(here)
-                    contexts.append(history)
-                weights = arc_weights(counts, contexts, total, unknown, mu)
-                base = np.log10((counts[0] + 0.1) / (total + 0.1 * (distinct + 1)))
-                known = np.add.reduceat((counts[0] > 0).astype(np.int64), starts)
-                yield frame([(i, bool(h), int(n), int(k), total, float(s), float(w)) for i, h, n, k, s, w in zip(chunk.ids, chunk.held, chunk.lens, known, np.add.reduceat(base, starts), np.add.reduceat(weights, starts), strict=True)], names)
-
-    return chunks.mapInPandas(run, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, mu: float = MU, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+        stats = (int(total.sum()), int((total > 0).sum()), int((total == 1).sum()))
+        rows = zip(pdf["n"].tolist(), pdf["bucket"].tolist(), pdf["part"].tolist(), pdf["seq"].tolist(), cuts, cuts[1:], strict=False)
+        out = [(n, k, part, seq, _squeeze(total[place[a:z]]), *(stats if not a else (0, 0, 0))) for n, k, part, seq, a, z in rows]
+        return frame(out, [c.split()[0] for c in _ANSWER.split(", ")])
+
+    return save(asked.groupBy("n", "bucket").applyInPandas(run, _ANSWER), "lm-answers")
+
+
+class Automaton:
+    """The slice of the automaton that a chunk's words can reach. State 0 is the root, 1 the beginning of a document; the
+    histories of l words follow, level by level, in the order of the chunk's distinct l-grams. ``counts[n - 1]`` are the
+    training counts of the distinct n-grams, ``documents`` the number of training documents.
+
+    ``fail`` and ``loss`` are the failure arcs, one a state; arcs lie in ``at`` (state * words + word, ascending) with
+    ``weight`` and ``goes``, those of the root in ``root_weight`` and ``root_goes`` by word."""
+
+    def __init__(self, chunk: _Chunk, counts: list[np.ndarray], total: int, unknown: float, documents: int, mu: float = MU):
+        order, words = chunk.order, chunk.words
+        self.n_words, self.order = int(words.max(initial=0)) + 1, order
+        base = 2 + np.concatenate([[0], np.cumsum([len(k) for k in chunk.keys[: order - 1]])]).astype(np.int64)
+        ended = [words[first] == 0 for first in chunk.first]
+
+        def state(level: int, positions: np.ndarray) -> np.ndarray:
+            """The state of the last ``level`` words up to each position."""
+            return base[level - 1] + chunk.place[level - 1][positions] if level else np.zeros(len(positions), np.int64)
+
+        self.fail, self.loss = np.zeros(int(base[-1]), np.int64), np.zeros(int(base[-1]))
+        self.is_state = np.zeros(int(base[-1]), bool)
+        self.is_state[0], self.is_state[1], self.loss[1] = True, documents > 0 and order > 1, np.log10(mu / (documents + mu))
+        for level in range(1, order):
+            c, mine = counts[level - 1], slice(int(base[level - 1]), int(base[level]))
+            self.is_state[mine] = (c > 0) & ~ended[level - 1]
+            self.fail[mine] = state(level - 1, chunk.first[level - 1])
+            self.loss[mine] = np.log10(mu / (c + mu))
+        held = np.concatenate([[0, documents], *[c for c in counts[: order - 1]]])
+        with np.errstate(divide="ignore"):
+            weights = np.where(counts[0] > 0, np.log10((1 - unknown) * counts[0] / max(total, 1)), np.log10(unknown))
+        of = words[chunk.first[0]]
+        self.root_weight, self.root_goes = np.full(self.n_words, np.log10(unknown)), np.zeros(self.n_words, np.int64)
+        self.root_weight[of] = weights
+        if order > 1:
+            self.root_goes[of] = np.where((counts[0] > 0) & ~ended[0], 2 + np.arange(len(of)), 0)
+        starts = np.zeros(len(words), bool)
+        starts[np.cumsum(chunk.lens) - chunk.lens] = True
+        at, weight, goes = [np.empty(0, np.int64)], [np.empty(0)], [np.empty(0, np.int64)]
+        for n in range(2, order + 1):
+            first, c = chunk.first[n - 1], counts[n - 1]
+            source = state(n - 1, first - 1)
+            if n == 2:
+                source[starts[first]] = 1
+            shorter = weights[chunk.place[n - 2][first]]
+            h = held[source]
+            weights = np.log10((c + mu * 10.0**shorter) / (h + mu))
+            seen = c > 0
+            target = state(min(n, order - 1), first)
+            at.append((source * self.n_words + words[first])[seen])
+            weight.append(weights[seen])
+            goes.append(np.where(ended[n - 1], 0, target)[seen])
+        at, weight, goes = map(np.concatenate, (at, weight, goes))
+        by = np.argsort(at)
+        self.at, self.weight, self.goes = at[by], weight[by], goes[by]
+
+    def step(self, states: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The weights that the words add in their states, failure arcs included, and the states they lead to."""
+        gained, out = np.zeros(len(states)), np.zeros(len(states), np.int64)
+        todo, here = np.arange(len(states)), states
+        for _ in range(self.order):
+            if not len(todo):
+                break
+            word = words[todo]
+            if len(self.at):
+                key = here * self.n_words + word
+                i = np.minimum(np.searchsorted(self.at, key), len(self.at) - 1)
+                hit = (self.at[i] == key) & (here > 0)
+            else:
+                i, hit = np.zeros(len(todo), np.int64), np.zeros(len(todo), bool)
+            root = here == 0
+            gained[todo[hit]] += self.weight[i[hit]]
+            out[todo[hit]] = self.goes[i[hit]]
+            gained[todo[root]] += self.root_weight[word[root]]
+            out[todo[root]] = self.root_goes[word[root]]
+            more = ~hit & ~root
+            todo, here = todo[more], here[more]
+            gained[todo] += self.loss[here]
+            here = self.fail[here]
+        return gained, out
+
+    def score(self, words: np.ndarray, lens: np.ndarray, lane: int = LANE, visited: list | None = None) -> np.ndarray:
+        """log10 of the probability of every document. ``visited`` gets the states after each step, for tests."""
+        warm = self.order - 1
+        starts = np.cumsum(lens) - lens
+        lanes = -(-lens // lane)
+        doc = np.repeat(np.arange(len(lens)), lanes)
+        nth = np.arange(len(doc)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        counted = starts[doc] + nth * lane
+        begin = np.maximum(counted - np.where(nth > 0, warm, 0), starts[doc])
+        end = np.minimum(counted + lane, starts[doc] + lens[doc])
+        by = np.argsort(begin - end, kind="stable")  # the longest first: those that go on are a head of the list
+        doc, counted, begin, end = doc[by], counted[by], begin[by], end[by]
+        long = end - begin
+        states = np.where(begin == starts[doc], np.int64(self.is_state[1]), 0)
+        sums = np.zeros(len(doc))
+        for t in range(int(long.max(initial=0))):
+            m = int(np.searchsorted(-long, -t, side="left"))
+            position = begin[:m] + t
+            gained, states = self.step(states[:m], words[position])
+            sums[:m] += np.where(position >= counted[:m], gained, 0.0)
+            if visited is not None:
+                visited.append((position, states))
+        return np.bincount(doc, sums, len(lens))
+
+
+_SCORES = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _score(chunks: DataFrame, answers: DataFrame, root: str, order: int, total: int, distinct: int, unknown: float, documents: int, mu: float) -> DataFrame:
+    names = [c.split()[0] for c in _SCORES.split(", ")]
+
+    def run(here: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        reader, out = Reader(root), []
+        for row in here.itertuples(index=False):
+            chunk = _Chunk(reader.read(row.name, row.offset, row.length), order)
+            starts = np.cumsum(chunk.lens) - chunk.lens
+            counts = []
+            for n in range(1, order + 1):
+                mine = told[told["n"] == n].sort_values("bucket")["counts"]
+                counts.append(np.concatenate([np.empty(0), *(_unsqueeze(x, np.uint64) for x in mine)]))
+                if len(counts[-1]) != len(chunk.keys[n - 1]):
+                    raise ValueError("a chunk has not got an answer for every n-gram")
+            scores = Automaton(chunk, counts, total, unknown, documents, mu).score(chunk.words, chunk.lens)
+            single = counts[0][chunk.place[0]]
+            base = np.log10((single + 0.1) / (total + 0.1 * (distinct + 1)))
+            known = np.add.reduceat((single > 0).astype(np.int64), starts)
+            out += [(i, bool(h), int(n), int(k), total, float(s), float(w)) for i, h, n, k, s, w in zip(chunk.ids, chunk.held, chunk.lens, known, np.add.reduceat(base, starts), scores, strict=True)]
+        reader.close()
+        return frame(out, names)
+
+    asked = chunks.select("part", "seq", "name", "offset", "length").groupBy("part", "seq")
+    return asked.cogroup(answers.select("part", "seq", "n", "bucket", "counts").groupBy("part", "seq")).applyInPandas(run, _SCORES)
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, mu: float = MU, chunk_bytes: int = CHUNK_BYTES, least_buckets: int = LEAST_BUCKETS) -> DataFrame:
     """Learn from the documents that are not held out and score all: ``id, held_out, n_tokens, n_known, train_tokens,
     base_score, score``."""
-    chunks = save(to_chunks(docs, id_col, text_col, order, chunk_bytes), "lm-chunks")
-    numbers = _chunk_numbers(chunks)
-    sums = chunks.agg(F.count(F.lit(1)).alias("chunks"), *[F.coalesce(F.sum(F.col("n_keys")[n]), F.lit(0)).alias(f"k{n}") for n in range(order)]).first()
-    buckets = [max(LEAST_BUCKETS, -(-sums[f"k{n}"] // BUCKET_KEYS)) for n in range(order)]
-    root = fresh_path(docs.sparkSession, "lm-counts")
-    answers = _answer(_ask(chunks, numbers, buckets), root, sums["chunks"])
+    root = fresh_path(docs.sparkSession, "lm-words")
+    chunks = to_chunks(docs, root, id_col, text_col, order, chunk_bytes)
+    sums = chunks.agg(F.coalesce(F.sum("training"), F.lit(0)).alias("training"), *[F.coalesce(F.sum(F.col("n_keys")[n]), F.lit(0)).alias(f"k{n}") for n in range(order)]).first()
+    answers = _answer(_ask(chunks, root, [max(least_buckets, -(-sums[f"k{n}"] // BUCKET_KEYS)) for n in range(order)]))
     stats = answers.where("n = 1").agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct"), F.sum("singles").alias("singles")).first()
     total, distinct, singles = (stats[c] or 0 for c in ("tokens", "distinct", "singles"))
-    names = [[""] * many for many in buckets]
-    for r in answers.select("n", "bucket", "name").collect():
-        names[r["n"] - 1][r["bucket"]] = r["name"]
-    ends = chunks.select("held").mapInPandas(_training_documents, "n long").agg(F.sum("n")).first()[0] or 0
     unknown = (singles + 0.5) / (total + 1)
-    return _score(chunks, numbers, names, root, total, distinct, min(unknown, 0.5) if total else 0.5, ends, mu).withColumnRenamed("id", id_col)
-
-
-def _training_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        yield pd.DataFrame({"n": [int((np.frombuffer(zstandard.decompress(x), np.uint8) & 1 == 0).sum()) for x in b["held"]]})
+    return _score(chunks, answers, root, order, total, distinct, min(unknown, 0.5) if total else 0.5, sums["training"], mu).withColumnRenamed("id", id_col)

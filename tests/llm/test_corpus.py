@@ -46,10 +46,9 @@ def brute_scores(rows, order, mu):
 
 
 @pytest.mark.parametrize("order", [1, 2, 3])
-def test_scores(spark, docs, order, monkeypatch):
-    monkeypatch.setattr(backoff_lm, "LEAST_BUCKETS", 5)
+def test_scores(spark, docs, order):
     df = docs.select("doc_id", "text", "kept", "id").unionByName(spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id + 1000 as doc_id", "text", "'' as kept", "doc_id as id").limit(60))
-    got = [(*r[:5], round(r[5], 6), round(r[6], 6)) for r in backoff_lm.score_texts(df, order=order, chunk_bytes=20_000).collect()]
+    got = [(*r[:5], round(r[5], 6), round(r[6], 6)) for r in backoff_lm.score_texts(df, order=order, chunk_bytes=20_000, least_buckets=5).collect()]
     assert sorted(got, key=repr) == brute_scores([(r.doc_id, r.text) for r in df.collect()], order, backoff_lm.MU)
 
 
@@ -59,6 +58,32 @@ def test_scores_are_of_order_3(spark):
     assert sorted(got, key=repr) == brute_scores([(r.doc_id, r.text) for r in df.collect()], 3, backoff_lm.MU)
 
 
+def test_one_traversal_carries_the_state(spark, tmp_path):
+    """States, arcs and failure arcs of a small corpus, stepped word by word, against their definition."""
+    import numpy as np
+
+    from cohortlab.llm._files import Reader
+
+    rows = [(i, t) for i, t in enumerate(["a b c a b d a b c a x", "b c a b", "a a a b", "zz yy a b c d e f", ""] * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    row = backoff_lm.to_chunks(df, f"file://{tmp_path}").first()
+    chunk = backoff_lm._Chunk(Reader(str(tmp_path)).read(row.name, row.offset, row.length), 3)
+    counts = [chunk.counts(n).astype(float) for n in (1, 2, 3)]
+    machine = backoff_lm.Automaton(chunk, counts, int(counts[0].sum()), 0.1, row.training)
+    assert len(machine.at) > 10 and (machine.loss[machine.fail > 0] < 0).any()
+    whole = []
+    scores = machine.score(chunk.words, chunk.lens, lane=10**6, visited=whole)
+    after = {int(p): int(s) for ps, ss in whole for p, s in zip(ps, ss, strict=True)}
+    assert len(after) == chunk.lens.sum() and len(set(after.values())) > 8
+    for lane in (1, 2, 3):
+        assert np.allclose(machine.score(chunk.words, chunk.lens, lane=lane), scores)
+    base2 = 2 + len(chunk.keys[0])
+    for p, s in after.items():
+        if chunk.words[p]:  # the longest suffix that training has
+            long, short = chunk.place[1][p], chunk.place[0][p]
+            assert s == (base2 + long if counts[1][long] else 2 + short if counts[0][short] else 0)
+
+
 def test_nothing_to_learn_from(spark, empty):
     assert backoff_lm.score_texts(empty).count() == 0
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
