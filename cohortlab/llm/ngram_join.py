@@ -9,13 +9,17 @@
    the first member of each linked set, never its pairs. Buckets over ``BLOCK`` members are cut into blocks, and every
    pair of blocks is a unit of work of its own, so no task holds a large bucket and none of its pairs is left out.
    Connected sets of these links are the candidate groups.
-4. Groups are verified on whole n-gram sets, each pair of members once, again in pairs of blocks. The verified links are
-   counted, and their connected sets are the near-duplicate classes.
+4. Groups are verified on whole n-gram sets, each pair of members once, again in pairs of blocks, whose number follows the
+   group's members and n-grams. The verified links are counted, and their connected sets are the near-duplicate classes.
+
+Classes are named by numbers that are dealt when the list of classes is written, so no two share a name; n-grams are
+compared by 64-bit hashes within pairs.
 
 Defined cases: a text of fewer words than n has one n-gram, all its words; a null or blank text has none and is a class
 of its own with no links; equal documents link to each other; a class id is the least doc_id of its documents (a null
-doc_id counts as the largest); rows that repeat are documents each; an empty table gives an empty table; other columns
-are ignored, whatever their names.
+doc_id counts as the largest); rows that repeat are documents each; ties of a similarity with the threshold are links; a
+very long text is compared whole, in a block of its own; an empty table gives an empty table; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -28,15 +32,15 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._common import by_bytes, frame, mix64, save, utf8
 
 N, THRESHOLD, TARGET_RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
-#: Members of a block of a bucket, and of a candidate group.
-BLOCK, VERIFY_BLOCK = 256, 64
+#: Members of a block of a bucket; members and n-grams of a block of a candidate group.
+BLOCK, VERIFY_BLOCK, VERIFY_GRAMS = 256, 256, 1 << 20
 _SEED = 7
 
 
@@ -105,18 +109,25 @@ def minima(sets: list[np.ndarray], hashes: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, key, minima``: the digest of the words and the minima; both null for a text without words."""
+    """``id, h, key, n_grams, minima``: the digest of the text, that of its words, how many n-grams it has, and the
+    minima; the last three are null for a text without words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts, ids = b["t"].tolist(), b["id"].tolist()
+            texts, ids, hashes = b["t"].tolist(), b["id"].tolist(), b["h"].tolist()
             for a, z in by_bytes([len(t) for t in texts], 1 << 19):
                 split = [t.lower().split() for t in texts[a:z]]
                 some = [i for i, ws in enumerate(split) if ws]
-                found = dict(zip(some, minima([shingles(split[i], n) for i in some], bands * rows) if some else [], strict=True))
-                yield frame([(None if pd.isna(i) else int(i), hashlib.md5(b" ".join(ws)).digest() if ws else None, found[k].tobytes() if ws else None) for k, (i, ws) in enumerate(zip(ids[a:z], split, strict=True))], ["id", "key", "minima"])
+                sets = [shingles(split[i], n) for i in some]
+                found = dict(zip(some, zip(map(len, sets), minima(sets, bands * rows) if some else [], strict=True), strict=True))
+                rest = lambda k, ws: (hashlib.md5(b" ".join(ws)).digest(), found[k][0], found[k][1].tobytes()) if ws else (None, None, None)
+                yield frame([(None if pd.isna(i) else int(i), h, *rest(k, ws)) for k, (i, h, ws) in enumerate(zip(ids[a:z], hashes[a:z], split, strict=True))], ["id", "h", "key", "n_grams", "minima"])
+
+    return _texts(docs, id_col, text_col).mapInPandas(run, "id long, h string, key binary, n_grams long, minima binary")
+
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("t")).mapInPandas(run, "id long, key binary, minima binary")
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("t")).withColumn("h", F.md5("t"))
 
 
 def band_rows(reps: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -134,12 +145,11 @@ def band_rows(reps: DataFrame, bands: int, rows: int) -> DataFrame:
     return reps.select("rep", "minima").mapInPandas(run, "rep long, band long")
 
 
-def block_units(members: DataFrame, group: str, size: str, block: int = BLOCK) -> DataFrame:
-    """Deal the members of every group to its units of work: pairs of blocks, the block of a member given by a hash.
-    Adds ``unit`` and ``side`` (0 or 1: the unit's first or second block; 2: a unit of one block)."""
-    blocks = F.ceil(F.col(size) / block).cast("int")
+def block_units(members: DataFrame, group: str, blocks: Column) -> DataFrame:
+    """Deal the members of every group to its units of work: pairs of its ``blocks``, the block of a member given by a
+    hash. Adds ``unit`` and ``side`` (0 or 1: the unit's first or second block; 2: a unit of one block)."""
     own = F.pmod(F.xxhash64("rep"), F.col("__n")).cast("int")
-    df = members.withColumn("__n", blocks).withColumn("__a", own).withColumn("__b", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    df = members.withColumn("__n", blocks.cast("int")).withColumn("__a", own).withColumn("__b", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
     side = F.when(F.col("__a") == F.col("__b"), 2).when(F.col("__a") < F.col("__b"), 0).otherwise(1)
     unit = F.concat_ws("/", F.col(group), F.least("__a", "__b"), F.greatest("__a", "__b"))
     # the unit of block a alone is (a, a); a member of block a takes part in it once
@@ -288,21 +298,23 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     bands, rows = choose_bands(threshold, recall)
     signed = save(signatures(docs, bands, rows, n, id_col, text_col), "minima")
     keyed = signed.where("key is not null")
-    # representatives are named by 64 bits of the digest, so that null and repeated doc_ids do no harm
-    reps = save(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first_id"), F.first("minima").alias("minima")).withColumn("rep", F.xxhash64("key")), "classes")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h"))
+    grouped = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), first.alias("first"), F.first("minima").alias("minima"), F.first("n_grams").alias("n_grams"))
+    # numbers of the written list, so that null and repeated doc_ids do no harm
+    reps = save(grouped.select("key", "copies", F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h"), "minima", "n_grams", F.monotonically_increasing_id().alias("rep")), "classes")
     banded = save(band_rows(reps, bands, rows), "bands")
     buckets = save(banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     members = banded.join(buckets, "band").select("rep", "band", "size")
-    units = block_units(members, "band", "size").join(reps.select("rep", "minima"), "rep")
+    units = block_units(members, "band", F.ceil(F.col("size") / BLOCK)).join(reps.select("rep", "minima"), "rep")
     groups = components(candidate_links(units.select("unit", "side", "rep", "minima"), bands * rows, slack(threshold, bands * rows)))
-    sizes = save(groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "group-sizes")
-    wanted = groups.join(sizes, "root").join(reps.select("rep", "key", "copies", "first_id"), "rep")
-    sets = _sets(docs, save(wanted, "wanted"), n, id_col, text_col)
-    links = save(verified_links(block_units(sets, "root", "size", VERIFY_BLOCK), threshold), "links-verified")
+    wanted = save(groups.join(reps.select("rep", "key", "copies", "first_id", "first_h", "n_grams"), "rep"), "wanted")
+    sizes = save(wanted.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / VERIFY_BLOCK), F.ceil(F.sum("n_grams") / VERIFY_GRAMS)).alias("blocks")), "group-sizes")
+    sets = _sets(docs, save(wanted.join(sizes, "root"), "wanted"), n, id_col, text_col)
+    links = save(verified_links(block_units(sets, "root", F.col("blocks")), threshold), "links-verified")
     roots = components(links)
     counts = links.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    told = reps.select("key", "rep", "copies", "first_id").join(roots, "rep", "left").join(counts, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    firsts = told.groupBy("root").agg(F.min("first_id").alias("class_id"))
+    told = save(reps.select("key", "rep", "copies", "first_id").join(roots, "rep", "left").join(counts, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "told")
+    firsts = save(told.groupBy("root").agg(F.min("first_id").alias("class_id")), "firsts")
     classes = save(told.join(firsts, "root").select("key", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classes-told")
     out = keyed.select("id", "key").join(classes, "key").select("id", "class_id", "n_links")
     alone = signed.where("key is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
@@ -310,18 +322,18 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """The whole n-gram sets of the wanted representatives, read from the text of a document of each. Where documents
-    repeat an id, the digest tells which is meant."""
+    """The whole n-gram sets of the wanted representatives, read from the text of a document of each, which is found by its
+    id and the digest of its text; rows that repeat both are one before their text is used."""
+    names = ["rep", "root", "blocks", "copies"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for a, z in by_bytes([len(t) for t in b["t"]], 1 << 21):
                 part = b.iloc[a:z]
-                words = [t.lower().split() for t in part["t"]]
-                meant = [hashlib.md5(b" ".join(ws)).digest() == bytes(k) for ws, k in zip(words, part["key"], strict=True)]
-                yield part.loc[meant, ["rep", "root", "size", "copies"]].assign(grams=[shingles(ws, n).tobytes() for ws, ok in zip(words, meant, strict=True) if ok])
+                yield part[names].assign(grams=[shingles(t.lower().split(), n).tobytes() for t in part["t"]])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("t"))
     # the wanted grow with the texts, so they are merged at every size
-    chosen = texts.join(wanted.hint("merge"), texts["id"].eqNullSafe(wanted["first_id"])).select("t", "key", "rep", "root", "size", "copies")
-    return chosen.mapInPandas(run, "rep long, root long, size long, copies long, grams binary")
+    texts, wanted = _texts(docs, id_col, text_col), wanted.hint("merge")
+    found = texts.join(wanted, texts["id"].eqNullSafe(wanted["first_id"]) & (texts["h"] == wanted["first_h"]))
+    chosen = found.groupBy("rep").agg(F.first("t").alias("t"), *[F.first(c).alias(c) for c in names[1:]])
+    return chosen.mapInPandas(run, "rep long, root long, blocks long, copies long, grams binary")

@@ -45,7 +45,7 @@ def brute_scores(rows, order, mu):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_scores(spark, docs, order):
     df = docs.select("doc_id", "text", "kept", "id").unionByName(spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id + 1000 as doc_id", "text", "'' as kept", "doc_id as id").limit(60))
     got = [(*r[:5], round(r[5], 6), round(r[6], 6)) for r in backoff_lm.score_texts(df, order=order, chunk_bytes=20_000, least_buckets=5).collect()]
@@ -158,6 +158,39 @@ def test_one_of_each_class_where_ids_repeat(spark):
     assert len(got) == 4 and {i for i, _ in got} == {1, 2, 3, None} and {t.split()[0] for _, t in got} == {"a0", "b0", "c0", "d0"}
 
 
+def test_a_null_id_is_nobody_elses(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, text), (42, text), (None, None), (None, ""), (7, None), (7, None)]
+    got = corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, text), (None, None), (None, ""), (7, None), (7, None)], key=repr)
+
+
+def test_pipeline_on_an_awkward_table(spark, docs, empty):
+    import corpus_pipeline
+    from cohortlab.llm._common import save
+
+    more = docs.unionByName(docs.withColumn("doc_id", docs.doc_id + 100))
+    for table in (more, empty):
+        df = table
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            df = save(stage(spark, df, SF), "awkward")
+            assert i == 4 or df.columns == docs.columns
+            assert i == 4 or stage(spark, table, SF).columns == docs.columns
+    assert corpus_pipeline.encode(spark, more, SF).count() == more.count()
+    kept = corpus_pipeline.one_of_each(spark, more, SF)
+    words = {" ".join(r.text.lower().encode().decode().split()) for r in more.collect() if r.text and r.text.split()}
+    assert 0 < kept.where("text is not null").count() <= len(words) + 2 * 4
+
+
+def test_links_at_a_larger_scale_equal_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = brute_links([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.near_duplicates(docs).collect()}
+    assert got == want and sum(n > 0 for _, n in want.values()) > 50
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     from cohortlab.llm._common import save, table
