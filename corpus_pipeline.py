@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its result is written as Parquet and
 read again as the next one's ``docs``. All but the last return the columns of ``documents``.
+
+Defined cases: null and blank texts fail the base rules and go in the first stage; given to a later stage alone, the
+classifier rejects them, the join keeps each as a class of its own, mixing counts them as one token and encoding gives no
+ids. A null doc_id is never held for another document's; rows that repeat are one class. Null languages and sources are
+strata and sources of their own. Texts of any length are taken whole. Empty tables give empty results; other columns
+travel along, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,13 +31,13 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate class the document with the least doc_id stays, one of no doc_id by a hash of its text.
-    Documents are told apart by id and text together; rows that repeat both are one document."""
-    named = docs.withColumns({"__id": F.xxhash64("doc_id", "text"), "__name": F.coalesce("doc_id", F.xxhash64("text"))})
-    found = ngram_join.near_duplicates(named, id_col="__id").select("__id", "class_id").distinct()
-    first = F.min(F.struct("__name", "__id"))["__id"]
-    firsts = save(named.select("__id", "__name").distinct().join(found, "__id").groupBy("class_id").agg(first.alias("__id")).select("__id"), "firsts")
-    return named.join(firsts, "__id", "left_semi").dropDuplicates(["__id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Of each near-duplicate class the document with the least doc_id stays, one without doc_id only if no other has one.
+    Rows are numbered when they are written, so that no hash or repeated id can take one document for another."""
+    named = save(docs.withColumn("__id", F.monotonically_increasing_id()), "numbered")
+    found = ngram_join.near_duplicates(named, id_col="__id").select("__id", "class_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__id"))["__id"]
+    firsts = save(named.select("doc_id", "__id").join(found, "__id").groupBy("class_id").agg(first.alias("__id")).select("__id"), "firsts")
+    return named.join(firsts, "__id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
