@@ -8,8 +8,6 @@ before it is used twice, so that a customer is decided once.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -17,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlab.sources import work
+
 EDGE = 1e-9
 
 
@@ -73,19 +73,14 @@ def cube_sample(df: DataFrame, columns: Sequence[str], id_col: str, share: float
     most ``len(columns) + 1`` a group, fly again in groups of the same size until one group is left."""
     if not 0 < share < 1:
         raise ValueError("the share must lie between 0 and 1")
-    spark = df.sparkSession
-    work_dir = work_dir or spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='cohortlab-')}"
     names = [*columns]
     current = df.select(F.col(id_col).alias("id"), *[F.col(c).cast("double").alias(c) for c in names], F.lit(float(share)).alias("pi"))
     schema = f"id {df.schema[id_col].dataType.simpleString()}, {', '.join(f'`{c}` double' for c in names)}, pi double"
     decided, n = [], current.count()
     for level in range(64):
         groups = max(1, -(-n // group_rows))
-
-        path = f"{work_dir}/cube-{uuid.uuid4().hex}"
         dealt = current.withColumn("g", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(seed + level)), F.lit(groups)))
-        dealt.groupBy("g").applyInPandas(_flier(names, seed, level, groups == 1, keep_size), schema).write.parquet(path)
-        flown = spark.read.schema(schema).parquet(path)
+        flown = work.save(dealt.groupBy("g").applyInPandas(_flier(names, seed, level, groups == 1, keep_size), schema), "cube", work_dir)
         decided.append(flown.where("pi = 0 or pi = 1").select(F.col("id").alias(id_col), F.col("pi").cast("int").alias("is_test")))
         if groups == 1:
             break

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cohortlab.sources import work
+
 from .ranking import sorted_products
 
 FLAGS = ("activated", "actioned", "interested")
@@ -58,23 +60,24 @@ def funnel_by_group(df: DataFrame, groups: DataFrame | None, group_col: str, id_
     return funnel_by(df.join(groups.select(id_col, group_col), id_col, "left"), [group_col])
 
 
-def score_deciles(df: DataFrame, score: str, out: str, tie: Sequence[str], partition: Sequence[str] = (), parts: int = 512) -> DataFrame:
+def score_deciles(df: DataFrame, score: str, out: str, tie: Sequence[str], partition: Sequence[str] = (), parts: int | None = None) -> DataFrame:
     """Ten groups as equal as can be, 1 the highest scores, null last, ``tie`` deciding between equals.
 
-    Rows are ranked within ranges of the score, each range starting after the rows above it (grouped counts), so that
-    neither a global order nor one large product needs a single task. ``parts`` bounds the number of ranges."""
+    Rows are dealt to ranges of (score, tie), so that no frequent score lands in one task as long as ties are told apart,
+    and written so. Each range starts after the rows of the ranges above it (grouped counts, a number a range), and rows
+    are ranked inside their range."""
     by = list(partition)
-    edges = df.agg(F.percentile_approx(score, [i / parts for i in range(1, parts)], 100_000).alias("__e"))
-    value = F.col(score)
-    ranged = df.crossJoin(F.broadcast(edges)).withColumn("__p", F.when(value.isNull(), F.lit(parts)).otherwise(F.size(F.filter("__e", lambda e: e > value)))).drop("__e")
+    order = [F.col(score).desc_nulls_last(), *tie]
+    n = parts or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = work.save(df.repartitionByRange(n, *by, *order).withColumn("__p", F.spark_partition_id()), "deciles")
     counts = ranged.groupBy(*by, "__p").agg(F.count(F.lit(1)).alias("__k"))
     whole = Window.partitionBy(*by)
     starts = counts.select(*[F.col(c).alias(f"__b_{c}") for c in by], F.col("__p").alias("__q"), (F.sum("__k").over(whole.orderBy("__p")) - F.col("__k")).alias("__above"), F.sum("__k").over(whole).alias("__n"))
     on = ranged["__p"] == starts["__q"]
     for c in by:
         on = on & ranged[c].eqNullSafe(starts[f"__b_{c}"])
-    place = F.row_number().over(Window.partitionBy(*by, "__p").orderBy(value.desc_nulls_last(), *tie)) + F.col("__above") - 1
-    joined = ranged.join(starts, on)
+    place = F.row_number().over(Window.partitionBy("__p", *by).orderBy(*order)) + F.col("__above") - 1
+    joined = ranged.join(F.broadcast(starts) if not by else starts, on)
     # the first n mod 10 groups have one row more
     small, large = F.floor(F.col("__n") / 10), F.col("__n") % 10
     head = large * (small + 1)

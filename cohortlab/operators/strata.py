@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,24 +33,41 @@ def numbered(df: DataFrame, key_col: str, out: str, prefix: str, width: int = 3)
 
 
 @dataclass
-class _Node:
-    """A node of the split tree: the bin columns that lead to it, with their values."""
+class _Split:
+    """A node's split: the feature's place in the order, the cuts (none for a flag), and by code + 1 of the feature the
+    label of the child, whose sizes ``children`` has. A code is the number of the interval, or the flag's value; -1 is null."""
 
-    path: dict[str, str] = field(default_factory=dict)
-    n: int = 0
+    feature: int
+    cuts: list[float]
+    label_of: list[str | None]
+    children: dict[str, int]
 
-    def inside(self) -> Column:
-        out = F.lit(True)
-        for c, v in self.path.items():
-            out = out & F.col(c).eqNullSafe(F.lit(v))
-        return out
 
+def _text(value) -> str:
+    if isinstance(value, list):
+        return f"array({', '.join(map(_text, value))})"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return "null" if value is None else f"{value!r}d" if isinstance(value, float) else str(value)
+
+
+def _array(values: list, kind: str) -> Column:
+    """An array of constants, parsed as one text: thousands of them are one call to the JVM."""
+    return F.expr(f"cast({_text(values)} as array<{kind}>)")
+
+
+def _interval(c: str, cuts: Column) -> Column:
+    """Number of the right-closed interval between the cuts, -1 for null."""
+    return F.when(F.col(c).isNull(), -1).otherwise(F.size(F.filter(cuts, lambda x: F.col(c).cast("double") > x)))
+
+
+def _flag_code(c: str, mode: str) -> Column:
+    zero = F.when(F.col(c).isNull(), -1).otherwise(0) if mode == "3way" else F.lit(0)
+    return F.when(F.col(c) == 1, 1).otherwise(zero)
 
-@dataclass
-class _Split:
-    column: str
-    label: Column
-    children: dict[str, int]
+
+def _flag_labels(mode: str) -> list[str]:
+    return [NULL_LABEL, "0", "1"] if mode == "3way" else ["", "0_or_null", "1"]
 
 
 def tree(df: DataFrame, least: int, order: Sequence[str] = (FLAG, *NUMERIC), bins_try: Sequence[int] = (6, 5, 4, 3, 2), max_depth: int = 6, rel_err: float = 0.001, flag_mode: str = "3way", selection: str = "best", key_col: str = "stratum_A_key", id_col: str = "stratum_A") -> DataFrame:
@@ -58,38 +76,74 @@ def tree(df: DataFrame, least: int, order: Sequence[str] = (FLAG, *NUMERIC), bin
     A node may split by a flag's values or by the first bin count of a numeric feature whose merged bins are large
     enough. ``best`` takes the feature with the most children, then the largest least child, then the earlier one;
     ``first`` the earliest feature that can split. Jobs are per level, not per node: one grouped percentile for the cuts
-    of all nodes, features and bin counts, one grouped count for all their bins. ``rel_err`` is the error of the
-    quantiles (0: exact).
+    of all nodes, features and bin counts, one grouped count of the finest intervals that any bin count needs, from which
+    the driver adds up every bin. A row's node is a number that each level looks up in arrays of the level's splits.
+    ``rel_err`` is the error of the quantiles (0: exact, up to ten million values a node).
     """
-    flags = [c for c in order if c == FLAG]
     numeric = [c for c in order if c != FLAG]
     probs = sorted({i / n for n in bins_try for i in range(1, n)})
-    work = df
-    open_nodes, used = [_Node(n=df.count())], []
-    for depth in range(max_depth):
-        nodes = [x for x in open_nodes if x.n >= 2 * least]
-        if not nodes:
-            break
-        at = F.coalesce(*[F.when(x.inside(), i) for i, x in enumerate(nodes)])
-        here = work.withColumn("__node", at).where("__node is not null")
-        cuts = _level_cuts(here, numeric, probs, bins_try, rel_err)
-        counts = _level_counts(here, flags, numeric, bins_try, cuts, flag_mode, len(nodes))
-        splits, labels = [], {}
-        for i, node in enumerate(nodes):
-            found = [s for c in order if (s := _split(i, c, depth, counts, cuts, bins_try, least, flag_mode))]
-            if not found:
-                continue
-            best = found[0] if selection == "first" else max(found, key=lambda s: (len(s.children), min(s.children.values())))
-            splits.append((node, best))
-            labels.setdefault(best.column, []).append(F.when(node.inside(), best.label))
-        if not splits:
-            break
-        work = work.withColumns({c: F.coalesce(*parts) for c, parts in labels.items()})
-        used += labels
-        open_nodes = [_Node({**node.path, s.column: v}, n) for node, s in splits for v, n in s.children.items()]
-    parts = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c), F.lit("__NA__"))) for c in sorted(used)]
-    work = work.withColumn(key_col, F.concat_ws(" | ", *parts) if parts else F.lit("ROOT"))
-    return numbered(work, key_col, id_col, "A_")
+    flags = _flag_labels(flag_mode)
+    here = df.select(*dict.fromkeys(order)).withColumn("__node", F.lit(0)).persist()
+    try:
+        open_sizes, levels = [here.count()], []
+        for _ in range(max_depth):
+            if not any(n >= 2 * least for n in open_sizes):
+                break
+            live = here.where(F.col("__node").isin([i for i, n in enumerate(open_sizes) if n >= 2 * least]))
+            cuts = _level_cuts(live, numeric, probs, bins_try, rel_err)
+            counts = _level_counts(live, order, cuts, flag_mode, len(open_sizes))
+            splits: dict[int, _Split] = {}
+            for i, size in enumerate(open_sizes):
+                found = [s for j, c in enumerate(order) if (s := _split(i, j, c, counts, cuts, bins_try, least, flags))] if size >= 2 * least else []
+                if found:
+                    splits[i] = found[0] if selection == "first" else max(found, key=lambda s: (len(s.children), min(s.children.values())))
+            if not splits:
+                break
+            levels.append((len(open_sizes), splits))
+            above, here = here, _down(here, order, len(open_sizes), splits, flag_mode, "__node", None).where("__node is not null").persist()
+            here.count()
+            above.unpersist()
+            open_sizes = [n for _, s in sorted(splits.items()) for n in s.children.values()]
+    finally:
+        here.unpersist()
+    out, parts = df.withColumn("__node", F.lit(0)), {}
+    for depth, (n, splits) in enumerate(levels):
+        out = _down(out, order, n, splits, flag_mode, "__node", f"__label_{depth}")
+        for j in {s.feature for s in splits.values()}:
+            parts[f"__A_L{depth}_{order[j]}_bin"] = F.when(F.col(f"__feature_{depth}") == j, F.col(f"__label_{depth}"))
+        out = out.withColumnRenamed("__feature", f"__feature_{depth}")
+    named = [F.concat(F.lit(f"{c}="), F.coalesce(parts[c], F.lit("__NA__"))) for c in sorted(parts)]
+    out = out.withColumn(key_col, F.concat_ws(" | ", *named) if named else F.lit("ROOT"))
+    return numbered(out.select(*df.columns, key_col), key_col, id_col, "A_")
+
+
+def _down(df: DataFrame, order: Sequence[str], n_nodes: int, splits: Mapping[int, _Split], flag_mode: str, node: str, label: str | None) -> DataFrame:
+    """Replace ``node`` by the number of the child among all children of the level, null for rows of closed nodes. With
+    ``label``, also add it, and the splitting feature's place as ``__feature``."""
+    nodes = range(n_nodes)
+    feature = _array([splits[i].feature if i in splits else -1 for i in nodes], "int")
+    at = lambda x: F.when(F.col(node).isNotNull(), F.element_at(x, F.col(node) + 1))
+    cuts = _array([splits[i].cuts if i in splits else [] for i in nodes], "array<double>")
+    used = sorted({s.feature for s in splits.values()})
+    df = df.withColumn("__feature", at(feature)).withColumn("__cuts", at(cuts))
+    code = F.coalesce(*[F.when(F.col("__feature") == j, _flag_code(order[j], flag_mode) if order[j] == FLAG else _interval(order[j], F.col("__cuts"))) for j in used])
+    child, labels, first = [], [], 0
+    for i in nodes:
+        if i in splits:
+            names = list(splits[i].children)
+            child.append([first + names.index(x) if x in names else None for x in splits[i].label_of])
+            labels.append(splits[i].label_of)
+            first += len(names)
+        else:
+            child.append([])
+            labels.append([])
+    slot = F.col("__code") + 2
+    df = df.withColumn("__code", code)
+    pick = lambda x: F.when(F.col("__code").isNotNull(), F.try_element_at(x, slot))
+    if label:
+        df = df.withColumn(label, pick(at(_array(labels, "array<string>"))))
+    df = df.withColumn(node, pick(at(_array(child, "array<int>"))))
+    return df.drop("__cuts", "__code", *([] if label else ["__feature"]))
 
 
 def _level_cuts(here: DataFrame, numeric: Sequence[str], probs: Sequence[float], bins_try: Sequence[int], rel_err: float) -> dict[tuple[int, str, int], list[float]]:
@@ -101,36 +155,48 @@ def _level_cuts(here: DataFrame, numeric: Sequence[str], probs: Sequence[float],
     return {(r["__node"], c, n): sorted({r[c][at[i / n]] for i in range(1, n)}) for r in rows for c in numeric if r[c] for n in bins_try}
 
 
-def _level_counts(here: DataFrame, flags: Sequence[str], numeric: Sequence[str], bins_try: Sequence[int], cuts: Mapping, flag_mode: str, n_nodes: int) -> dict[tuple[int, str, int], dict]:
-    tests = [F.struct(F.lit(c).alias("feature"), F.lit(0).alias("bins"), binning.flag_label(c, flag_mode).alias("bin")) for c in flags]
-    for c in numeric:
-        for n in bins_try:
-            own = [(i, cuts[i, c, n]) for i in range(n_nodes) if cuts.get((i, c, n))]
-            if own:
-                number = F.coalesce(*[F.when(F.col("__node") == i, binning.bin_number(c, x)) for i, x in own])
-                tests.append(F.struct(F.lit(c).alias("feature"), F.lit(n).alias("bins"), number.cast("string").alias("bin")))
-    if not tests:
-        return {}
-    rows = here.select("__node", F.inline(F.array(*tests))).where("bin is not null").groupBy("__node", "feature", "bins", "bin").count().collect()
-    out: dict[tuple[int, str, int], dict] = {}
+def _fine(cuts: Mapping, node: int, c: str) -> list[float]:
+    """All cuts of a node's feature, of any bin count."""
+    return sorted({x for (i, name, _), own in cuts.items() if i == node and name == c for x in own})
+
+
+def _level_counts(here: DataFrame, order: Sequence[str], cuts: Mapping, flag_mode: str, n_nodes: int) -> dict[tuple[int, str], dict[int, int]]:
+    """Rows by node, feature and code; codes of numeric features count the finest intervals."""
+    tests = []
+    for j, c in enumerate(order):
+        if c == FLAG:
+            code = _flag_code(c, flag_mode)
+        else:
+            fine = _array([_fine(cuts, i, c) for i in range(n_nodes)], "array<double>")
+            code = _interval(c, F.element_at(fine, F.col("__node") + 1))
+        tests.append(F.struct(F.lit(j).alias("feature"), code.alias("code")))
+    rows = here.select("__node", F.inline(F.array(*tests))).groupBy("__node", "feature", "code").count().collect()
+    out: dict[tuple[int, str], dict[int, int]] = {}
     for r in rows:
-        out.setdefault((r["__node"], r["feature"], r["bins"]), {})[r["bin"]] = r["count"]
+        out.setdefault((r["__node"], order[r["feature"]]), {})[r["code"]] = r["count"]
     return out
 
 
-def _split(node: int, c: str, depth: int, counts: Mapping, cuts: Mapping, bins_try: Sequence[int], least: int, flag_mode: str) -> _Split | None:
-    column = f"__A_L{depth}_{c}_bin"
+def _split(node: int, j: int, c: str, counts: Mapping, cuts: Mapping, bins_try: Sequence[int], least: int, flags: Sequence[str]) -> _Split | None:
+    found = counts.get((node, c), {})
     if c == FLAG:
-        found = counts.get((node, c, 0), {})
-        return _Split(column, binning.flag_label(c, flag_mode), dict(sorted(found.items()))) if len(found) > 1 and min(found.values()) >= least else None
+        children = {flags[code + 1]: n for code, n in sorted(found.items(), key=lambda x: flags[x[0] + 1])}
+        return _Split(j, [], list(flags), children) if len(children) > 1 and min(children.values()) >= least else None
+    fine = _fine(cuts, node, c)
     for n in bins_try:
-        if not (found := counts.get((node, c, n))):
+        if not (own := cuts.get((node, c, n))):
             continue
-        groups = binning.merge_small({int(b): k for b, k in found.items()}, least)
+        bins: dict[int, int] = {}
+        for code, k in found.items():
+            b = code if code < 1 else bisect_right(own, fine[code - 1])
+            bins[b] = bins.get(b, 0) + k
+        groups = binning.merge_small(bins, least)
         if len(groups) > 1 and min(g.size for g in groups) >= least:
-            number = binning.bin_number(c, cuts[node, c, n])
-            label = F.coalesce(*[F.when(number.isin(*g.bins), f"G{i}") for i, g in enumerate(groups)])
-            return _Split(column, label, {f"G{i}": g.size for i, g in enumerate(groups)})
+            label_of: list[str | None] = [None] * (len(own) + 2)
+            for i, g in enumerate(groups):
+                for b in g.bins:
+                    label_of[b + 1] = f"G{i}"
+            return _Split(j, own, label_of, {f"G{i}": g.size for i, g in enumerate(groups)})
     return None
 
 
@@ -150,11 +216,11 @@ def coarsen(df: DataFrame, least: int, start: Mapping[str, int] = COARSEN_START,
     of all bin counts come from one job, each round is one grouped count."""
     cuts = binning.quantile_cuts(df, {c: range(floor, n + 1) for c, n in start.items()}, rel_err)
     bins = dict(start)
-    for _ in range(max_rounds):
+    for left in range(max(1, max_rounds), 0, -1):
         out = _binned(df, bins, cuts, flag_mode)
         small = out.groupBy("stratum_B").count().agg(F.min("count")).first()[0]
         shrink = next((c for c in order if bins[c] > floor), None)
-        if small is None or small >= least or shrink is None:
+        if small is None or small >= least or shrink is None or left == 1:
             break
         bins[shrink] -= 1
     return out, bins
@@ -178,12 +244,12 @@ def coarsen_until(df: DataFrame, control_share: float, p_global: float, least_co
     conversions enough; returns the frame, the bins and whether that was reached."""
     floors = floors or {"n_web_logins": 2, "n_mobile_logins": 2, "n_offers_year": 2, "balance": 3}
     bins = dict(start)
-    for _ in range(max_rounds):
+    for left in range(max(1, max_rounds), 0, -1):
         out, _ = simple(df, bins)
         worst = sizes(out, "stratum", control_share, p_global).agg(F.min("n_control"), F.min("exp_conv")).first()
         reached = worst[0] is not None and worst[0] >= least_control and worst[1] >= least_conversions
         shrink = next((c for c in floors if bins[c] > floors[c]), None)
-        if reached or shrink is None:
+        if reached or shrink is None or left == 1:
             break
         bins[shrink] -= 1
     return out, bins, reached
