@@ -152,6 +152,56 @@ def test_all_filters_are_undone():
     assert (media_png.unfilter(kinds, np.array([each[k][y] for y, k in enumerate(kinds)])) == rows).all()
 
 
+def test_png_of_many_stripes(monkeypatch):
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 7, 64 * 1000, dtype=np.uint8).tobytes()
+    whole, want = media_png.encode_png(data), media_png.cosine_hash(np.frombuffer(data, np.uint8).reshape(-1, 64))
+    monkeypatch.setattr(media_png, "STRIPE", 7)
+    assert media_png.encode_png(data) == whole and media_png.decode_png(whole).tobytes() == data
+    assert media_png.cosine_hash(np.frombuffer(data, np.uint8).reshape(-1, 64)) == want
+
+
+def brute_hash(payload):
+    """The feature by definition: box means, then every cosine sum, sample by sample."""
+    import math
+    from fractions import Fraction
+
+    rows = [payload[i : i + 64] for i in range(0, len(payload), 64)]
+
+    def boxes(n):
+        for k in range(32):
+            lo = min(math.floor(Fraction(k * n, 32)), n - 1)
+            yield range(lo, max(math.ceil(Fraction((k + 1) * n, 32)), lo + 1))
+
+    small = [[sum(rows[y][x] for y in ys for x in xs) / (len(ys) * len(xs)) for xs in boxes(64)] for ys in boxes(len(rows))]
+    wave = [[math.cos(math.pi * (i + 0.5) * k / 32) for i in range(32)] for k in range(8)]
+    low = [round(sum(wave[u][y] * wave[v][x] * small[y][x] for y in range(32) for x in range(32)), 6) for u in range(8) for v in range(8)]
+    middle = sorted(low[1:])[31]
+    return int("".join("1" if c > middle else "0" for c in low), 2).to_bytes(8, "big")
+
+
+def test_feature_and_stored_form_by_definition():
+    rng = np.random.default_rng(4)
+    for n in (1, 3, 31, 40, 77):
+        payload = bytes(rng.integers(32, 127, 64 * n, dtype=np.uint8))
+        assert media_png.cosine_hash(np.frombuffer(payload, np.uint8).reshape(-1, 64)) == brute_hash(payload)
+        png = media_png.encode_png(payload)
+        rows, lines = [list(payload[i : i + 64]) for i in range(0, len(payload), 64)], b""
+        for y in range(n):
+            tries = [filtered(rows[: y + 1], k)[y] for k in range(3)]
+            best = min(range(3), key=lambda k: sum(min(v, 256 - v) for v in tries[k]))
+            lines += bytes([best, *tries[best]])
+        assert zlib.decompress(b"".join(c for k, c in chunks_of(png) if k == b"IDAT")) == lines
+
+
+def chunks_of(png):
+    at = 8
+    while at < len(png):
+        n = int.from_bytes(png[at : at + 4], "big")
+        yield png[at + 4 : at + 8], png[at + 8 : at + 8 + n]
+        at += 12 + n
+
+
 @settings(deadline=None, max_examples=30)
 @given(st.binary(min_size=0, max_size=900))
 def test_png_keeps_bytes_and_tells_damage(data):
