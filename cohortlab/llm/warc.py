@@ -241,14 +241,14 @@ def _tested(reader: Reader, archive: str, page_id: int | None, kind: str, digest
 
 
 def look_up(directory: DataFrame, root: str, keys: DataFrame, key_col: str = "key") -> DataFrame:
-    """The captures of the given URL keys."""
+    """The captures of the given URL keys; a null key has none."""
     tops = directory.sparkSession.sparkContext.broadcast(_tops(directory))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         archives = _Archives(root, tops.value)
         for b in batches:
             out = []
-            for key in b["key"]:
+            for key in (k for k in b["key"] if k is not None):
                 for archive, line in archives.find((key, False, float("-inf")), (key, True, float("inf"))):
                     rec = parse_record(archives.archive.read(archive, line[4], line[5]))
                     out.append((key, line[1], line[2], line[3], rec["payload"]))

@@ -38,7 +38,7 @@ def test_look_up_reads_one_block(spark, monkeypatch):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     directory = warc.write_archives(df, root, archives=3)
     assert directory.count() >= 60 / 512
-    keys = spark.createDataFrame([("com,example,h3)/3",), ("com,example,h0)/0",), ("com,nothing)/",)], "key string")
+    keys = spark.createDataFrame([("com,example,h3)/3",), ("com,example,h0)/0",), ("com,nothing)/",), (None,)], "key string")
     got = {r.key: (r.page_id, bytes(r.payload).decode()) for r in warc.look_up(directory, root, keys).collect()}
     assert got == {"com,example,h3)/3": (3, "page 3 " * 30), "com,example,h0)/0": (0, "page 0 " * 30)}
 
