@@ -11,7 +11,9 @@ reach (``Automaton``). Chunks are files in the shared folder. Each asks for the
 with its own training counts; buckets of the key space add up the counts of all chunks and answer every chunk in the order
 it asked; the answers come back to the chunk by a grouped shuffle. Questions and answers are blocks of many keys, at
 most as many as there are keys, so all work is in proportion to the corpus. A chunk asks for a key once, however often it
-occurs there, so a word that is in every document weighs no more on its bucket than any other.
+occurs there, so a word that is in every document weighs no more on its bucket than any other. Answers also say which
+n-grams no other chunk has; a longer n-gram that holds one of these is in no other chunk either, its count is the chunk's
+own, and it need not be asked for. Words and pairs are asked for together, each further order after the one before.
 
 The chunk then lays out states, arcs and failure arcs and goes through its documents once from left to right. Lanes of
 ``LANE`` words go side by side in numpy, each with a state of its own that every word moves on: along its arc, or down
@@ -44,7 +46,7 @@ from ._files import Reader, write_file
 ORDER, MU = 3, 100.0
 #: Bytes of text in a chunk; n-grams asked for in a bucket, by all chunks together; buckets of an order at least; words of
 #: a lane.
-CHUNK_BYTES, BUCKET_KEYS, LEAST_BUCKETS, LANE = 6 << 20, 2_000_000, 96, 256
+CHUNK_BYTES, BUCKET_KEYS, LEAST_BUCKETS, LANE = 8 << 20, 2_000_000, 96, 256
 _END, _START, _STEP = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -170,7 +172,7 @@ class _Chunk:
         self.words = _unsqueeze(words, np.uint32)
         self.order, self.keys, self.first, self.place = order, [], [], []
         keys, valid = _keys(np.frombuffer(hashes, np.uint64)[self.words], self.lens, order)
-        for k, v in zip(keys, valid, strict=True):
+        for k, v in zip(keys, valid, strict=True):  # a chunk may be read for its lower orders only
             at = np.flatnonzero(v)
             found, first, back = np.unique(k[at], return_index=True, return_inverse=True)
             place = np.full(len(v), -1, np.int32)
@@ -193,8 +195,44 @@ def _cuts(keys: np.ndarray, buckets: int) -> tuple[list[int], list[int]]:
     return of[at].tolist(), [*at.tolist(), len(keys)]
 
 
+def _shared(chunk: _Chunk, alone: list[np.ndarray], n: int) -> np.ndarray:
+    """Which of the distinct n-grams other chunks may have: those whose two shorter ones others have; all up to pairs."""
+    if n < 3:
+        return np.ones(len(chunk.keys[n - 1]), bool)
+    first, place = chunk.first[n - 1], chunk.place[n - 2]
+    return ~(alone[n - 2][place[first]] | alone[n - 2][place[first - 1]])
+
+
+def _told(chunk: _Chunk, told: pd.DataFrame, orders: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The counts of all distinct n-grams up to ``orders``, and which of them no other chunk has: from the answers, or the
+    chunk's own where it need not ask."""
+    counts: list[np.ndarray] = []
+    alone: list[np.ndarray] = []
+    for n in range(1, orders + 1):
+        asked = _shared(chunk, alone, n)
+        mine = told[told["n"] == n].sort_values("bucket")["counts"]
+        got = np.concatenate([np.empty(0, np.uint64), *(_unsqueeze(x, np.uint64) for x in mine)])
+        if len(got) != asked.sum():
+            raise ValueError("a chunk has not got an answer for every n-gram that it asked for")
+        c, a = chunk.counts(n).astype(np.float64), np.ones(len(chunk.keys[n - 1]), bool)
+        c[asked], a[asked] = got >> np.uint64(1), (got & np.uint64(1)).astype(bool)
+        counts.append(c)
+        alone.append(a)
+    return counts, alone
+
+
+_ASKED = "n int, bucket int, part int, seq int, keys binary, counts binary"
+
+
+def _questions(chunk: _Chunk, row, n: int, many: int, asked: np.ndarray) -> pd.DataFrame:
+    keys, counts = chunk.keys[n - 1][asked], chunk.counts(n)[asked]
+    of, cuts = _cuts(keys, many)
+    out = [(n, k, row.part, row.seq, _squeeze(np.diff(keys[a:z], prepend=np.uint64(0))), _squeeze(counts[a:z])) for k, a, z in zip(of, cuts, cuts[1:], strict=False)]
+    return frame(out, [c.split()[0] for c in _ASKED.split(", ")])
+
+
 def _ask(chunks: DataFrame, root: str, buckets: list[int]) -> DataFrame:
-    """Per chunk, order and bucket: the keys, and how often each occurs in the chunk's training documents."""
+    """Per chunk, order (1 and 2) and bucket: the keys, and how often each occurs in the chunk's training documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(root)
@@ -202,21 +240,38 @@ def _ask(chunks: DataFrame, root: str, buckets: list[int]) -> DataFrame:
             for row in b.itertuples(index=False):
                 chunk = _Chunk(reader.read(row.name, row.offset, row.length), len(buckets))
                 for n, many in enumerate(buckets, 1):
-                    keys, counts = chunk.keys[n - 1], chunk.counts(n)
-                    asked, cuts = _cuts(keys, many)
-                    out = [(n, k, row.part, row.seq, _squeeze(np.diff(keys[a:z], prepend=np.uint64(0))), _squeeze(counts[a:z])) for k, a, z in zip(asked, cuts, cuts[1:], strict=False)]
-                    yield frame(out, ["n", "bucket", "part", "seq", "keys", "counts"])
+                    yield _questions(chunk, row, n, many, _shared(chunk, [], n))
+        reader.close()
+
+    return chunks.select("part", "seq", "name", "offset", "length").mapInPandas(run, _ASKED)
+
+
+def _ask_further(chunks: DataFrame, answers: DataFrame, root: str, n: int, many: int) -> DataFrame:
+    """The same for a higher order, of which a chunk asks only for what others may have."""
+
+    def run(here: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        reader, out = Reader(root), []
+        for row in here.itertuples(index=False):
+            chunk = _Chunk(reader.read(row.name, row.offset, row.length), n)
+            _, alone = _told(chunk, told, n - 1)
+            out.append(_questions(chunk, row, n, many, _shared(chunk, alone, n)))
         reader.close()
+        return pd.concat(out)
+
+    return _with_answers(chunks, answers).applyInPandas(run, _ASKED)
 
-    return chunks.select("part", "seq", "name", "offset", "length").mapInPandas(run, "n int, bucket int, part int, seq int, keys binary, counts binary")
+
+def _with_answers(chunks: DataFrame, answers: DataFrame):
+    asked = chunks.select("part", "seq", "name", "offset", "length").groupBy("part", "seq")
+    return asked.cogroup(answers.select("part", "seq", "n", "bucket", "counts").groupBy("part", "seq"))
 
 
 _ANSWER = "n int, bucket int, part int, seq int, counts binary, tokens long, distinct long, singles long"
 
 
 def _answer(asked: DataFrame) -> DataFrame:
-    """Add up every bucket: a row a chunk that asked, with the totals in its order. The first row of a bucket has its
-    training tokens, its n-grams and those seen once."""
+    """Add up every bucket: a row a chunk that asked, with the totals in its order, doubled, and 1 more where no other
+    chunk asked. The first row of a bucket has its training tokens, its n-grams and those seen once."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = [np.cumsum(_unsqueeze(x, np.uint64), dtype=np.uint64) for x in pdf["keys"]]
@@ -224,9 +279,10 @@ def _answer(asked: DataFrame) -> DataFrame:
         cuts = np.cumsum([0, *map(len, keys)]).tolist()
         found, place = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(place, counts, len(found)).astype(np.uint64)
+        told = total * np.uint64(2) + (np.bincount(place, minlength=len(found)) == 1).astype(np.uint64)
         stats = (int(total.sum()), int((total > 0).sum()), int((total == 1).sum()))
         rows = zip(pdf["n"].tolist(), pdf["bucket"].tolist(), pdf["part"].tolist(), pdf["seq"].tolist(), cuts, cuts[1:], strict=False)
-        out = [(n, k, part, seq, _squeeze(total[place[a:z]]), *(stats if not a else (0, 0, 0))) for n, k, part, seq, a, z in rows]
+        out = [(n, k, part, seq, _squeeze(told[place[a:z]]), *(stats if not a else (0, 0, 0))) for n, k, part, seq, a, z in rows]
         return frame(out, [c.split()[0] for c in _ANSWER.split(", ")])
 
     return save(asked.groupBy("n", "bucket").applyInPandas(run, _ANSWER), "lm-answers")
@@ -347,12 +403,7 @@ def _score(chunks: DataFrame, answers: DataFrame, root: str, order: int, total:
         for row in here.itertuples(index=False):
             chunk = _Chunk(reader.read(row.name, row.offset, row.length), order)
             starts = np.cumsum(chunk.lens) - chunk.lens
-            counts = []
-            for n in range(1, order + 1):
-                mine = told[told["n"] == n].sort_values("bucket")["counts"]
-                counts.append(np.concatenate([np.empty(0), *(_unsqueeze(x, np.uint64) for x in mine)]))
-                if len(counts[-1]) != len(chunk.keys[n - 1]):
-                    raise ValueError("a chunk has not got an answer for every n-gram")
+            counts, _ = _told(chunk, told, order)
             scores = Automaton(chunk, counts, total, unknown, documents, mu).score(chunk.words, chunk.lens)
             single = counts[0][chunk.place[0]]
             base = np.log10((single + 0.1) / (total + 0.1 * (distinct + 1)))
@@ -361,8 +412,7 @@ def _score(chunks: DataFrame, answers: DataFrame, root: str, order: int, total:
         reader.close()
         return frame(out, names)
 
-    asked = chunks.select("part", "seq", "name", "offset", "length").groupBy("part", "seq")
-    return asked.cogroup(answers.select("part", "seq", "n", "bucket", "counts").groupBy("part", "seq")).applyInPandas(run, _SCORES)
+    return _with_answers(chunks, answers).applyInPandas(run, _SCORES)
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, mu: float = MU, chunk_bytes: int = CHUNK_BYTES, least_buckets: int = LEAST_BUCKETS) -> DataFrame:
@@ -371,7 +421,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     root = fresh_path(docs.sparkSession, "lm-words")
     chunks = to_chunks(docs, root, id_col, text_col, order, chunk_bytes)
     sums = chunks.agg(F.coalesce(F.sum("training"), F.lit(0)).alias("training"), *[F.coalesce(F.sum(F.col("n_keys")[n]), F.lit(0)).alias(f"k{n}") for n in range(order)]).first()
-    answers = _answer(_ask(chunks, root, [max(least_buckets, -(-sums[f"k{n}"] // BUCKET_KEYS)) for n in range(order)]))
+    buckets = [max(least_buckets, -(-sums[f"k{n}"] // BUCKET_KEYS)) for n in range(order)]
+    answers = _answer(_ask(chunks, root, buckets[:2]))
+    for n in range(3, order + 1):
+        answers = answers.unionByName(_answer(_ask_further(chunks, answers, root, n, buckets[n - 1])))
     stats = answers.where("n = 1").agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct"), F.sum("singles").alias("singles")).first()
     total, distinct, singles = (stats[c] or 0 for c in ("tokens", "distinct", "singles"))
     unknown = (singles + 0.5) / (total + 1)
