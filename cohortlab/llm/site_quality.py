@@ -1,7 +1,7 @@
 """Quality classifier: document evidence within hierarchical empirical-Bayes priors of its site.
 
-A logistic regression over a dozen style measures and the words that tell the classes apart gives every document a
-probability of being good, p. Sums of p over all documents, grouped by host and path, give each site a rate; rates of
+A logistic regression over a dozen style measures and the words of its sample gives every document a probability of being
+good, p. Sums of p over all documents, grouped by host and path, give each site a rate; rates of
 sparse paths are shrunk towards their host's and those of sparse hosts towards the global one. How strongly is taken
 from the data: the precision of the Beta prior on either level follows from the variance between sites that sampling
 alone does not explain (method of moments). The document's own p is taken out of its site's sums, then the site's shrunk
@@ -11,8 +11,10 @@ A document is *good* if it has quality 1 and is not toxic. The regression is fit
 ``SAMPLE`` labelled documents of either class at most; sums and rates are over all documents.
 
 Defined cases: a null or blank text has p = 0 and is rejected; null hosts and paths are the site ``""``; contradicting
-labels of one document count as bad; without labels of both classes p is the share of good labels (1 without labels) for
-every text with a word; rows that repeat are judged each; empty tables are allowed; other columns are kept apart.
+labels of one document count as bad; of the rows that repeat a labelled doc_id the one with the least text digest is
+learned from; without labels of both classes p is the share of good labels (1 without labels) for
+every text with a word; a posterior that ties with the threshold is kept; rows that repeat are judged each, texts of any
+length whole; empty tables are allowed; other columns are kept apart.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 
 from ._common import joined_small, save, utf8
 
-#: Labelled documents of either class in the sample, words that the regression sees, documents a word must be in.
-SAMPLE, WORDS, LEAST_DOCS = 3000, 400, 8
+#: Labelled documents of either class in the sample, documents of it that a word must be in for the regression to see it.
+SAMPLE, LEAST_DOCS = 3000, 8
 #: The odds below which a document is rejected, sites sent to all tasks at most (more are joined by a shuffle).
 THRESHOLD, MOST_SITES = 0.5, 200_000
 _SYMBOLS, _CAPITALS, _DIGITS = b"#*$%&|<>", bytes(range(65, 91)), b"0123456789"
@@ -51,16 +53,46 @@ def parts(text: bytes) -> tuple[list[float], set[bytes]] | None:
     return style(text, words, len(set(words))), seen - {b""}
 
 
-def fit_regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
-    """Weights and bias by Newton's method with a ridge penalty on the weights."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    penalty = np.full(x.shape[1], ridge)
-    penalty[-1] = 1e-6
-    w = np.zeros(x.shape[1])
+class _Sparse:
+    """A 0/1 matrix by the places of its ones."""
+
+    def __init__(self, sets: list[list[int]], width: int):
+        self.row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        self.col = np.fromiter((i for x in sets for i in x), np.int64, len(self.row))
+        self.shape = len(sets), width
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.col], self.shape[0])
+
+    def transposed(self, r: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, r[self.row], self.shape[1])
+
+
+def fit_regression(form: np.ndarray, words: _Sparse, y: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
+    """Weights over ``[form, words, 1]`` by Newton's method with a ridge penalty on all but the bias; each step is solved
+    by conjugate gradients, so that any number of words may take part."""
+    k, v = form.shape[1], words.shape[1]
+    penalty = np.append(np.full(k + v, ridge), 1e-6)
+    times = lambda w: form @ w[:k] + words.times(w[k:-1]) + w[-1]
+    back = lambda r: np.concatenate([form.T @ r, words.transposed(r), [r.sum()]])
+    w = np.zeros(k + v + 1)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
         s = np.maximum(p * (1 - p), 1e-4)
-        step = np.linalg.solve((x * s[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        step, r = np.zeros_like(w), back(y - p) - penalty * w
+        scale = 1 / (np.concatenate([(form * form * s[:, None]).sum(axis=0), words.transposed(s), [s.sum()]]) + penalty)
+        d = scale * r
+        rho, least = r @ d, 1e-12 * (r @ r)
+        for _ in range(200):
+            if r @ r <= least:
+                break
+            a = back(s * times(d)) + penalty * d
+            alpha = rho / (d @ a)
+            step += alpha * d
+            r = r - alpha * a
+            z = scale * r
+            rho, before = r @ z, rho
+            d = z + rho / before * d
         w += step
         if np.abs(step).max() < 1e-5:
             break
@@ -68,26 +100,16 @@ def fit_regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int
 
 
 def _learn(found: list[tuple[int, list[float], set[bytes]]], prior: float) -> tuple[list[bytes], np.ndarray]:
-    """Telling words and weights over ``[style, words, 1]``, the bias moved to the given share of good documents."""
+    """All words of ``LEAST_DOCS`` documents and more, and weights over ``[style, words, 1]``, the bias moved to the given share of good documents."""
     y = np.array([k for k, _, _ in found], float)
     n1, n0 = y.sum(), len(y) - y.sum()
-    df = [Counter(), Counter()]
-    for k, _, words in found:
-        df[k].update(words)
-    scores = []
-    for word in df[0].keys() | df[1].keys():
-        a, b = df[1][word], df[0][word]
-        if a + b >= LEAST_DOCS:
-            pa, pb, m = a / n1, b / n0, (a + b) / len(y)
-            scores.append((-abs(pa - pb) / np.sqrt(m * (1 - m) * (1 / n1 + 1 / n0) + 1e-9), word))
-    vocabulary = [w for _, w in sorted(scores)[:WORDS]]
+    df = Counter(w for _, _, words in found for w in words)
+    vocabulary = sorted(w for w, n in df.items() if n >= LEAST_DOCS)
     at = {w: i for i, w in enumerate(vocabulary)}
     form = np.array([s for _, s, _ in found])
-    lex = np.zeros((len(found), len(at)))
-    for i, (_, _, words) in enumerate(found):
-        lex[i, [at[w] for w in words & at.keys()]] = 1
+    lex = _Sparse([sorted(at[w] for w in words & at.keys()) for _, _, words in found], len(at))
     mean, sd = form.mean(axis=0), form.std(axis=0) + 1e-6
-    w = fit_regression(np.hstack([(form - mean) / sd, lex]), y)
+    w = fit_regression((form - mean) / sd, lex, y)
     w[-1] += np.log(prior / (1 - prior)) - np.log(n1 / n0) - (w[:N_STYLE] * mean / sd).sum()
     w[:N_STYLE] /= sd
     return vocabulary, w
@@ -102,7 +124,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     if not good or not bad:
         return {"words": None, "share": 1.0 if not bad else 0.0}
     picked = marks.where("good = 1").orderBy("h").limit(sample).unionByName(marks.where("good = 0").orderBy("h").limit(sample))
-    texts = docs.select("doc_id", utf8("text").alias("t")).join(F.broadcast(picked), "doc_id").select("good", "t", "h").repartition(1)
+    labelled = docs.select("doc_id", utf8("text").alias("t")).join(F.broadcast(picked), "doc_id")
+    # one row of each labelled document, however often it repeats
+    texts = labelled.groupBy("doc_id").agg(F.min_by(F.struct("good", "t", "h"), F.md5("t")).alias("x")).select("x.*").repartition(1)
     prior = good / (good + bad)
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,7 +226,7 @@ def filter_documents(docs: DataFrame, labels: DataFrame, host_col: str = "source
     """The documents that are kept, with the columns of ``docs``. Texts are scored twice and never shuffled while sites
     are few enough to be sent to all tasks."""
     model, names = fit(docs, labels), docs.columns
-    first = sites(with_evidence(docs.select(*_site_columns(host_col, path_col), utf8("text").alias("__t")), model))
+    first = sites(save(with_evidence(docs.select(*_site_columns(host_col, path_col), utf8("text").alias("__t")), model), "site-evidence"))
     inner = [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(names)]
     rows = with_evidence(docs.select(*inner, *_site_columns(host_col, path_col), utf8("text").alias("__t")), model)
     found = joined_small(rows, first, ["host", "path"], "inner", MOST_SITES).where((F.col("__x") > -30) & (_p_of(posterior()) >= threshold))

@@ -88,6 +88,44 @@ def test_site_classifier(spark, docs, no_labels, empty):
     assert site_quality.filter_documents(docs, no_labels).columns == docs.columns
 
 
+def test_regression_equals_a_dense_solution():
+    rng = np.random.default_rng(3)
+    sets = [sorted(rng.choice(30, 5, replace=False).tolist()) for _ in range(200)]
+    form, y = rng.normal(size=(200, 3)), rng.integers(0, 2, 200).astype(float)
+    w = site_quality.fit_regression(form, site_quality._Sparse(sets, 30), y)
+    dense = np.hstack([form, np.array([[float(i in x) for i in range(30)] for x in map(set, sets)]), np.ones((200, 1))])
+    p = 1 / (1 + np.exp(-dense @ w))
+    assert np.abs(dense.T @ (y - p) - np.append(np.ones(33), 1e-6) * w).max() < 1e-4  # the gradient of the penalised likelihood
+
+
+def test_posteriors_by_definition(spark):
+    """Site sums, moments, shrinkage and posteriors of a whole table, row by row in plain Python."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r for r in site_quality.classify(docs, labels).collect()}
+    model = site_quality.fit(docs, labels)
+    evidence = site_quality.Evidence(model)
+    rows = [(r.doc_id, r.source or "", r.lang or "", evidence.logit((r.text or "").encode())) for r in docs.collect()]
+    p = {i: 1 / (1 + math.exp(-x)) for i, _, _, x in rows}
+    paths, hosts = {}, {}
+    for i, host, path, _ in rows:
+        paths.setdefault((host, path), []).append(p[i])
+        hosts.setdefault(host, []).append(p[i])
+    n, total = len(rows), sum(p.values())
+    m = min(max(total / n, 1e-6), 1 - 1e-6)
+    between = max((sum(sum(h) ** 2 / len(h) for h in hosts.values()) - total**2 / n - (len(hosts) - 1) * m * (1 - m)) / max(n - sum(len(h) ** 2 for h in hosts.values()) / n, 1e-9), 1e-6)
+    within = sum(sum(x) ** 2 / len(x) for x in paths.values()) - sum(sum(h) ** 2 / len(h) for h in hosts.values())
+    size = n - sum(sum(len(x) ** 2 for (h, _), x in paths.items() if h == host) / len(own) for host, own in hosts.items())
+    inside = max((within - (len(paths) - len(hosts)) * m * (1 - m)) / max(size, 1e-9), 1e-6)
+    k_host, k_path = (min(max(m * (1 - m) / v - 1, 2), 1e6) for v in (between, inside))
+    for i, host, path, x in rows:
+        h = (sum(hosts[host]) - p[i] + k_host * m) / (len(hosts[host]) - 1 + k_host)
+        q = (sum(paths[host, path]) - p[i] + k_path * h) / (len(paths[host, path]) - 1 + k_path)
+        q = min(max(q, 1e-6), 1 - 1e-6)
+        z = x + math.log(q / (1 - q)) - math.log(m / (1 - m))
+        score = 1 / (1 + math.exp(-z)) if x > -30 else 0.0
+        assert got[i].score == pytest.approx(score, abs=1e-6) and got[i].kept == (got[i].score >= 0.5)
+
+
 def test_sparse_sites_are_shrunk(spark):
     rows = [("big", "p", -2.0)] * 300 + [("big", "q", 2.0)] * 2 + [("other", "p", 2.0)] * 300 + [("tiny", "p", -2.0)]
     scored = spark.createDataFrame(rows, "host string, path string, __x double")
