@@ -98,12 +98,9 @@ def _summary_sql(x: str, source: str, extra: str = "") -> str:
 query("metric_summary_typed", lambda f: ranking.summary(ranking.total_value(_legacy(f)), "total_ev"), f"with {_EV} {_summary_sql('a', 'l')}")
 _COMPARED = ", 'legacy' as side", ", 'new' as side"
 query("ev_compare_summary", lambda f: ranking.compare_summaries(ranking.total_value(_legacy(f)), ranking.total_value(_new(f)), "total_ev"), f"with {_EV}, j as (select * from l join n using (customer_id)) {_summary_sql('a', 'j', _COMPARED[0])} union all {_summary_sql('b', 'j', _COMPARED[1])}")
-_FOUR = PRODUCTS[:4]
-query("value_diff", lambda f: ranking.value_differences(_legacy(f), _new(f), _FOUR), f"select l.customer_id, {', '.join(_r(f'abs(coalesce(n.{p}::double, 0) - coalesce(l.{p}::double, 0))', f'{p}_abs_diff') for p in _FOUR)}, {_r(' + '.join(f'abs(coalesce(n.{p}::double, 0) - coalesce(l.{p}::double, 0))' for p in _FOUR), 'sum_abs_diff')} from {_L} l join {_N} n using (customer_id)")
-query("value_diff_summary", lambda f: ranking.summary(ranking.value_differences(_legacy(f), _new(f), _FOUR), "sum_abs_diff"), f"with j as (select {' + '.join(f'abs(coalesce(n.{p}::double, 0) - coalesce(l.{p}::double, 0))' for p in _FOUR)} as x from {_L} l join {_N} n using (customer_id)) {_summary_sql('x', 'j')}")
 _DIFFS = [f"abs(coalesce(n.{p}::double, 0) - coalesce(l.{p}::double, 0))" for p in PRODUCTS]
-query("value_diff_all", lambda f: ranking.value_differences(_legacy(f), _new(f), PRODUCTS), f"select l.customer_id, {', '.join(_r(d, f'{p}_abs_diff') for p, d in zip(PRODUCTS, _DIFFS, strict=True))}, {_r(' + '.join(_DIFFS), 'sum_abs_diff')} from {_L} l join {_N} n using (customer_id)")
-query("value_diff_all_summary", lambda f: ranking.summary(ranking.value_differences(_legacy(f), _new(f), PRODUCTS), "sum_abs_diff"), f"with j as (select {' + '.join(_DIFFS)} as x from {_L} l join {_N} n using (customer_id)) {_summary_sql('x', 'j')}")
+query("value_diff", lambda f: ranking.value_differences(_legacy(f), _new(f), PRODUCTS), f"select l.customer_id, {', '.join(_r(d, f'{p}_abs_diff') for p, d in zip(PRODUCTS, _DIFFS, strict=True))}, {_r(' + '.join(_DIFFS), 'sum_abs_diff')} from {_L} l join {_N} n using (customer_id)")
+query("value_diff_summary", lambda f: ranking.summary(ranking.value_differences(_legacy(f), _new(f), PRODUCTS), "sum_abs_diff"), f"with j as (select {' + '.join(_DIFFS)} as x from {_L} l join {_N} n using (customer_id)) {_summary_sql('x', 'j')}")
 query("product_shift_top3", lambda f: ranking.product_shift(_legacy(f), _new(f), 3), f"""with {_RANKED}, a as (select product, count(*) as f from rl where r <= 3 group by product), b as (select product, count(*) as f from rn where r <= 3 group by product)
 select product, coalesce(a.f, 0) as freq_legacy, coalesce(b.f, 0) as freq_new, {_r(f'coalesce(a.f, 0) / (select count(*) from {_L})::double', 'pct_legacy')}, {_r(f'coalesce(b.f, 0) / (select count(*) from {_N})::double', 'pct_new')} from a full join b using (product)""")
 
@@ -138,8 +135,7 @@ def _changed_sql() -> str:
 
 
 query("changed_unchanged_ev", lambda f: ranking.changed_unchanged_value(_legacy(f), _new(f), CHANGED, UNCHANGED), _changed_sql())
-query("subset_customers_products", lambda f: subset.subset(f("priority_new"), f("strat_customers").where("cost_ID % 8 = 3").select(F.col("cost_ID").alias("customer_id")), _FOUR), f"select customer_id, control, {', '.join(_r(p, p) for p in _FOUR)} from {duck('priority_new')} where control = 0 and customer_id % 8 = 3")
-query("subset_segment_products", lambda f: subset.subset(f("priority_new"), f("strat_customers").where("segment = 'BUILDING'").select(F.col("cost_ID").alias("customer_id")), PRODUCTS), f"select customer_id, control, {', '.join(_r(p, p) for p in PRODUCTS)} from {duck('priority_new')} where control = 0 and customer_id in (select cost_ID from {_C} where segment = 'BUILDING')")
+query("subset_customers_products", lambda f: subset.subset(f("priority_new"), f("strat_customers").where("segment = 'BUILDING'").select(F.col("cost_ID").alias("customer_id")), PRODUCTS), f"select customer_id, control, {', '.join(_r(p, p) for p in PRODUCTS)} from {duck('priority_new')} where control = 0 and customer_id in (select cost_ID from {_C} where segment = 'BUILDING')")
 query("ev_diff_histogram", lambda f: plots.histogram(ranking.metric_difference(ranking.total_value(_legacy(f)), ranking.total_value(_new(f)), "total_ev"), "total_ev_diff", 20), f"""with {_EV}, d as (select b - a as v from l join n using (customer_id)), e as (select min(v) as lo, max(v) as hi, (max(v) - min(v)) / 20 as w from d)
 select least(19, floor((v - lo) / w))::int as bin, {_r('lo + least(19, floor((v - lo) / w))::int * w', 'low')}, {_r('lo + (least(19, floor((v - lo) / w))::int + 1) * w', 'high')}, count(*) as n from d, e group by 1, 2, 3""")
 
@@ -149,7 +145,9 @@ def _report_tables(f) -> DataFrame:
     return made["top3_product_shift"].table
 
 
-query("report_top3_shift", _report_tables)
+query("report_top3_shift", _report_tables, f"""with {_RANKED}, a as (select product, count(*) as f from rl where r <= 3 group by product), b as (select product, count(*) as f from rn where r <= 3 group by product),
+s as (select product, coalesce(a.f, 0) as freq_legacy, coalesce(b.f, 0) as freq_new, coalesce(a.f, 0) / (select count(*) from {_L})::double as x, coalesce(b.f, 0) / (select count(*) from {_N})::double as y from a full join b using (product))
+select product, freq_legacy, freq_new, {_r('x', 'pct_legacy')}, {_r('y', 'pct_new')}, {_r('y - x', 'pct_diff')}, {_r('abs(y - x)', 'pct_diff_abs')}, freq_new - freq_legacy as freq_diff from s""")
 
 # ---- binning and strata ----
 _VISA = "case when visa_ind is null then '__NULL__' when visa_ind = 1 then '1' else '0' end"
@@ -182,7 +180,7 @@ def _qcut_cte(x: str, n: int, prefix: str, source: str = "c") -> str:
 
 
 query("qcut_bin", lambda f: binning.rank_bin(f("strat_customers"), "n_offers_year", 4, "bin", "off").select("cost_ID", "bin"), f"with c as {_C}, {_qcut_cte('n_offers_year', 4, 'off')} select cost_ID, {_qcut('n_offers_year', 4, 'off')} as bin from c")
-query("bucketizer_bin", lambda f: binning.bucketize(f("strat_customers"), "balance", 5).select("cost_ID", "balance_bin"))
+query("bucketizer_bin", lambda f: binning.bucketize(f("strat_customers"), "balance", 5, rel_err=0.0).select("cost_ID", "balance_bin"), f"with c as {_C}, q as {_q('balance', 5)} select cost_ID, case when balance is not null then len(list_filter(q, lambda e: e <= balance))::double end as balance_bin from c, q")
 query("density_balance", lambda f: plots.density(f("strat_customers").withColumn("group", assign.md5_control("cost_ID")), "balance", "group", 10), f"""with c as (select *, case when ('0x' || substr(md5(cost_ID || '__42'), 1, 8))::bigint % 10000 < 1000 then 1 else 0 end::int as arm from {_C}), e as (select min(balance) as lo, max(balance) as hi from c),
 n as (select arm, least(9, floor(10 * ((balance - lo) / (hi - lo))))::int as bin, count(*) as n from c, e where balance is not null group by 1, 2) select arm, bin, {_r('n / sum(n) over (partition by arm)::double', 'share')} from n""")
 
@@ -204,8 +202,53 @@ query("describe_strata", lambda f: strata.describe(_keyed(f("strat_customers")),
 select stratum, n, coalesce(array_to_string(v, ','), '') as visa_values, coalesce(array_to_string(o, ','), '') as offer_values, 'visa=' || coalesce(array_to_string(v, ','), '') || ' | n_offers_year=' || coalesce(array_to_string(o, ','), '') as description from d""")
 query("tree_strata", lambda f: strata.tree(f("strat_customers"), LEAST, rel_err=0.0).select("cost_ID", "stratum_A_key", "stratum_A"))
 query("tree_first_strata", lambda f: strata.tree(f("strat_customers"), LEAST, rel_err=0.0, selection="first").select("cost_ID", "stratum_A"))
-query("coarsen_strata", lambda f: strata.coarsen(f("strat_customers"), LEAST, rel_err=0.0)[0].select("cost_ID", "stratum_B"))
-query("coarsen_until", lambda f: strata.coarsen_until(f("strat_customers"), 0.1, 0.03, 5, 1.0)[0].select("cost_ID", "stratum"))
+
+
+def _coarsen_sql() -> str:
+    """Every round of the coarsening as a table; the first whose strata are all large enough counts, else the last."""
+    bins, rounds = dict(strata.COARSEN_START), []
+    while True:
+        rounds.append(dict(bins))
+        shrink = next((c for c in strata.COARSEN_ORDER if bins[c] > 2), None)
+        if shrink is None:
+            break
+        bins[shrink] -= 1
+    cuts = sorted({(c, n) for r in rounds for c, n in r.items()})
+    edge = lambda c, n, i: f"coalesce((q_{c}_{n}.q[{i}])::double::varchar, '')"
+    place = lambda c, n: f"len(list_filter(q_{c}_{n}.q, lambda e: e < {c}))"
+    text = lambda c, n: f"case when {c} is null then '__NULL__' else '(' || case when {place(c, n)} = 0 then '-inf' else {edge(c, n, place(c, n))} end || ',' || case when {place(c, n)} = len(q_{c}_{n}.q) then 'inf)' else {edge(c, n, f'{place(c, n)} + 1')} || ']' end end"
+    ctes = [f"q_{c}_{n} as {_q(c, n)}" for c, n in cuts]
+    for i, r in enumerate(rounds):
+        key = " || ' | ' || ".join([f"'visa_ind_bin=' || {_VISA}", *[f"'{c}_bin=' || {text(c, n)}" for c, n in r.items()]])
+        ctes.append(f"r{i} as (select cost_ID, {key} as stratum_B from c, {', '.join(f'q_{c}_{n}' for c, n in r.items())})")
+        ctes.append(f"m{i} as (select min(k) as k from (select count(*) as k from r{i} group by stratum_B))")
+    fits = " ".join(f"when (select k from m{i}) >= {LEAST} then {i}" for i in range(len(rounds)))
+    every = " union all ".join(f"select {i} as i, * from r{i}" for i in range(len(rounds)))
+    return f"with c as {_C}, {', '.join(ctes)}, pick as (select case {fits} else {len(rounds) - 1} end as i) select cost_ID, stratum_B from ({every}) join pick using (i)"
+
+
+def _coarsen_until_sql() -> str:
+    floors, bins, rounds = {"n_web_logins": 2, "n_mobile_logins": 2, "n_offers_year": 2, "balance": 3}, dict(strata.SIMPLE_BINS), []
+    while True:
+        rounds.append(dict(bins))
+        shrink = next((c for c in floors if bins[c] > floors[c]), None)
+        if shrink is None:
+            break
+        bins[shrink] -= 1
+    names = {"balance": "bal", "n_web_logins": "web", "n_mobile_logins": "mob", "n_offers_year": "off"}
+    ctes = [_qcut_cte(c, n, f"{names[c]}_{n}") for c, n in sorted({(c, n) for r in rounds for c, n in r.items()})]
+    for i, r in enumerate(rounds):
+        label = " || '|' || ".join(_qcut(c, r[c], f"{names[c]}_{r[c]}").replace(f"'{names[c]}_{r[c]}:", f"'{names[c]}:") for c in strata.SIMPLE_BINS)
+        ctes.append(f"r{i} as (select cost_ID, case when visa_ind is null then 'visa:NULL' else 'visa:' || visa_ind end || '|' || {label} as stratum from c)")
+        ctes.append(f"m{i} as (select min(floor(k * 0.1::double)) >= 5 and min(k * 0.03::double) >= 1 as fits from (select count(*) as k from r{i} group by stratum))")
+    fits = " ".join(f"when (select fits from m{i}) then {i}" for i in range(len(rounds)))
+    every = " union all ".join(f"select {i} as i, * from r{i}" for i in range(len(rounds)))
+    return f"""with c0 as {_C}, qb as (select quantile_cont(balance, [0.01, 0.99]) as q from c0), c as (select * replace (greatest(least(balance, q[2]), q[1]) as balance) from c0, qb),
+{', '.join(ctes)}, pick as (select case {fits} else {len(rounds) - 1} end as i) select cost_ID, stratum from ({every}) join pick using (i)"""
+
+
+query("coarsen_strata", lambda f: strata.coarsen(f("strat_customers"), LEAST, rel_err=0.0)[0].select("cost_ID", "stratum_B"), _coarsen_sql())
+query("coarsen_until", lambda f: strata.coarsen_until(f("strat_customers"), 0.1, 0.03, 5, 1.0)[0].select("cost_ID", "stratum"), _coarsen_until_sql())
 query("tree_dt_strata", lambda f: strata.supervised(f("strat_customers")).select("cost_ID", "stratum_C"))
 query("kmeans_strata", lambda f: strata.clustered(f("strat_customers"), LEAST, k_start=12)[0].select("cost_ID", "stratum_D"))
 

@@ -222,6 +222,13 @@ def test_deciles_are_tiles(spark, scores):
     assert [got[i] for i in order] == want
 
 
+def test_deciles_where_one_score_has_half_the_rows(spark):
+    df = spark.range(20_000).selectExpr("id", "if(id % 2 = 0, 5d, cast(id % 97 as double)) as s").repartition(8)
+    got = outcomes.score_deciles(df, "s", "d", ["id"])
+    want = df.selectExpr("id", "ntile(10) over (order by s desc nulls last, id) as want")
+    assert got.join(want, "id").where("d <> want").isEmpty()
+
+
 def test_report_and_files(spark, tmp_path):
     legacy, new = (fixtures.frame(spark, SF, f"priority_{s}") for s in ("legacy", "new"))
     made, pictures, path = report.run(legacy, new, report.Scenario("active", tuple(fixtures.PRODUCTS[:4])), tmp_path)
