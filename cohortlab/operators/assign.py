@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortlab.functions.scalar import md5_number
+from cohortlab.sources import work
 
 
 def hash_control(id_col: str, stratum_col: str, share: float = 0.10) -> Column:
@@ -58,6 +59,15 @@ def stratified_split(df: DataFrame, id_col: str, stratum_col: str, test_share: f
     return df.withColumn(out, (F.pmod(F.xxhash64(F.col(stratum_col), F.col(id_col).cast("string"), F.lit(seed)), F.lit(1_000_000)) < round(test_share * 1_000_000)).cast("int"))
 
 
+def sample_by(df: DataFrame, id_col: str, stratum_col: str, test_share: float = 0.9, seed: int = 42, out: str = "is_test") -> DataFrame:
+    """The engine's own stratified draw, the same share of every stratum: 1 for drawn ids, 0 for the others. The draw
+    depends on how rows are partitioned, so its ids are written before they are used; null strata are not drawn."""
+    _check(df, [id_col, stratum_col], test_share)
+    shares = {r[0]: test_share for r in df.where(F.col(stratum_col).isNotNull()).select(stratum_col).distinct().collect()}
+    drawn = work.save(df.sampleBy(stratum_col, shares, seed).select(F.col(id_col).alias("__id")).distinct(), "drawn")
+    return df.join(drawn.withColumn("__in", F.lit(1)), df[id_col] == drawn["__id"], "left").withColumn(out, F.coalesce("__in", F.lit(0))).drop("__id", "__in")
+
+
 def two_frames(df: DataFrame, flag: str = "is_test") -> tuple[DataFrame, DataFrame]:
     """Test and control as frames of their own."""
     return df.where(F.col(flag) == 1).drop(flag), df.where(F.col(flag) == 0).drop(flag)

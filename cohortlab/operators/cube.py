@@ -92,3 +92,8 @@ def cube_sample(df: DataFrame, columns: Sequence[str], id_col: str, share: float
     for part in decided[1:]:
         out = out.unionByName(part)
     return out
+
+
+def cube_split(df: DataFrame, columns: Sequence[str], id_col: str, share: float, **options) -> DataFrame:
+    """``df`` with ``is_test`` from :func:`cube_sample`, joined back by the id."""
+    return df.join(cube_sample(df, columns, id_col, share, **options), id_col)

@@ -16,10 +16,14 @@ METHODS = ("full", "additive", "grouping", "auto")
 MOST_CHANNELS = 20
 
 
-def to_masks(df: DataFrame, channels: Sequence[str], rate: str = "rate", size: str = "sample_size") -> DataFrame:
-    """``mask, sample_size, rate`` from a column of 0/1 per channel. Rows of one set are pooled by their sizes."""
+def to_masks(df: DataFrame, channels: Sequence[str], rate: str = "rate", size: str = "sample_size", last_by: str | None = None) -> DataFrame:
+    """``mask, sample_size, rate`` from a column of 0/1 per channel. Rows of one set are pooled by their sizes or, with
+    ``last_by``, the row with the greatest value of that column stands for its set."""
     mask = sum((F.when(F.col(c) == 1, 1 << i).otherwise(0) for i, c in enumerate(channels)), F.lit(0))
     rows = df.select(mask.cast("int").alias("mask"), F.col(size).alias("n"), F.col(rate).cast("double").alias("r"))
+    if last_by:
+        last = df.select(mask.cast("int").alias("mask"), F.struct(F.col(last_by), F.col(size).alias("n"), F.col(rate).cast("double").alias("r")).alias("x")).groupBy("mask").agg(F.max("x").alias("x"))
+        return last.select("mask", F.col("x.n").alias("sample_size"), F.col("x.r").alias("rate"))
     pooled = F.coalesce(F.try_divide(F.sum(F.col("r") * F.col("n")), F.sum("n")), F.avg("r"))
     return rows.groupBy("mask").agg(F.sum("n").alias("sample_size"), pooled.alias("rate"))
 

@@ -123,6 +123,26 @@ def with_p_value(df: DataFrame, test: str) -> dict:
     return row | {"p_value": p}
 
 
+def p_value(df: DataFrame, test: str) -> DataFrame:
+    """``statistic, p_value`` of a statistic's single row, as a table; null where the statistic is."""
+    row = with_p_value(df, test)
+    return df.sparkSession.createDataFrame([(row["statistic"], row["p_value"])], "statistic double, p_value double")
+
+
+def smd_or_errors(test: DataFrame, control: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``feature, smd, error``: absolute SMD of two frames, missing values as 0. A column that one frame lacks or that is
+    no number gives a row with the error instead. One job a frame."""
+    number = lambda df, c: c in df.columns and dict(df.dtypes)[c].split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "boolean")
+    wrong = {c: "no such column" if c not in test.columns or c not in control.columns else "not a number" for c in columns if not (number(test, c) and number(control, c))}
+    fine = [c for c in columns if c not in wrong]
+    filled = lambda df: df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in fine])
+    out = [test.sparkSession.createDataFrame([(c, None, e) for c, e in wrong.items()], "feature string, smd double, error string")]
+    if fine:
+        both = filled(test).withColumn("__arm", F.lit(1)).unionByName(filled(control).withColumn("__arm", F.lit(0)))
+        out.append(feature_balance(both, fine, "__arm", 0, 1, signed=False).select("feature", "smd", F.lit(None).cast("string").alias("error")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def compare_methods(arms: dict[str, DataFrame], features: Sequence[str], binned: str, arm: str = "is_test", test_share: float = 0.9) -> DataFrame:
     """A row per assignment method: mean absolute SMD and KS of the features, chi-square of a binned column and the
     relative error of scaled-up totals. ``arm`` is 1 for test."""

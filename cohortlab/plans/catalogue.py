@@ -6,6 +6,7 @@ iterative or Python-backed ones, have no SQL; the tests hold them against invari
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -278,6 +279,7 @@ def _cube(f) -> DataFrame:
 
 
 query("cube_assignment", _cube)
+query("sample_by_engine", lambda f: assign.sample_by(f("strat_customers"), "cost_ID", "segment").select("cost_ID", "is_test"))
 
 # ---- validation ----
 _ARMS = "case when {} then {} end"
@@ -326,6 +328,26 @@ query("welch_t", lambda f: validate.welch(_split(f), "balance"), f"""with m as (
 select {_r('(mt - mc) / sqrt(a + b)', 'statistic')}, {_r('pow(a + b, 2) / (a * a / (nt - 1) + b * b / (nc - 1))', 'dof')} from m""")
 
 
+def _unrounded(name: str) -> str:
+    return re.sub(r"round\((.+?), 6\) as (statistic|dof)", r"(\1) as \2", ORACLE[name])
+
+
+_KS_P = "greatest(0, least(1, case when x < 0.2 then 1 else 2 * (select sum((case when k % 2 = 1 then 1 else -1 end) * exp(-2 * k * k * x * x)) from (select unnest(range(1, 101)) as k)) end))"
+query("ks_p_value", lambda f: validate.p_value(validate.ks(_split(f), "balance"), "ks"), f"with s as (select *, statistic * sqrt(n_control * n_test / (n_control + n_test)::double) as x from ({_unrounded('ks_statistic')})) select {_r('statistic', 'statistic')}, {_r(_KS_P, 'p_value')} from s")
+query("chi2_p_value", lambda f: validate.p_value(validate.chi_square(_binned(f), "bin"), "chi_square"), f"with s as ({_unrounded('chi2_statistic')}) select {_r('statistic', 'statistic')}, {_r('1 - (select sum(exp((dof / 2 + n) * ln(statistic / 2) - statistic / 2 - lgamma(dof / 2 + n + 1))) from (select unnest(range(0, 2000)) as n))', 'p_value')} from s")
+_BETA = "exp(lgamma(a + 0.5) - lgamma(a) - lgamma(0.5) + a * ln(x) + 0.5 * ln(1 - x)) / a * (select sum(exp(lgamma(a + 0.5 + n) - lgamma(a + 0.5) - lgamma(a + 1 + n) + lgamma(a + 1) + n * ln(x))) from (select unnest(range(0, 1000000)) as n))"
+query("welch_p_value", lambda f: validate.p_value(validate.welch(_split(f), "balance"), "welch"), f"with s as (select statistic, dof / 2 as a, dof / (dof + statistic * statistic) as x from ({_unrounded('welch_t')})) select {_r('statistic', 'statistic')}, {_r(_BETA, 'p_value')} from s")
+
+
+def _smd_frames(f) -> DataFrame:
+    df = _split(f)
+    return validate.smd_or_errors(df.where("group = 'test'"), df.where("group = 'control'"), [*FEATURES, "segment", "nowhere"])
+
+
+_FILLED = f"(select \"group\", {', '.join(f'coalesce({c}, 0) as {c}' for c in FEATURES)} from {_SPLIT})"
+query("smd_or_errors", _smd_frames, " union all ".join([f"select '{c}' as feature, {_r(f'abs({_smd_sql(c)})', 'smd')}, null as error from {_FILLED}" for c in FEATURES] + ["select 'segment', null, 'not a number'", "select 'nowhere', null, 'no such column'"]))
+
+
 def _methods(f) -> DataFrame:
     df = f("strat_customers").fillna(0.0, FEATURES).withColumn("bin", F.coalesce("n_offers_year", F.lit(0)))
     md5 = df.withColumn("is_test", 1 - assign.md5_control("cost_ID"))

@@ -229,6 +229,18 @@ def test_deciles_where_one_score_has_half_the_rows(spark):
     assert got.join(want, "id").where("d <> want").isEmpty()
 
 
+def test_last_row_of_a_channel_set_wins(spark):
+    df = spark.createDataFrame([(1, 1, 0, 10, 0.1), (2, 1, 0, 5, 0.3), (3, 0, 1, 7, 0.2)], "k int, a int, b int, sample_size int, rate double")
+    got = {r.mask: (r.sample_size, r.rate) for r in shapley.to_masks(df, ["a", "b"], last_by="k").collect()}
+    assert got == {1: (5, 0.3), 2: (7, 0.2)}
+
+
+def test_cube_joins_back(spark):
+    df = spark.range(400).selectExpr("id as cost_ID", "cast(id % 7 as double) as x", "'kept' as note")
+    got = cube.cube_split(df, ["x"], "cost_ID", 0.5, group_rows=100)
+    assert got.columns == [*df.columns, "is_test"] and got.count() == 400 and got.where("is_test = 1").count() == 200
+
+
 def test_report_and_files(spark, tmp_path):
     legacy, new = (fixtures.frame(spark, SF, f"priority_{s}") for s in ("legacy", "new"))
     made, pictures, path = report.run(legacy, new, report.Scenario("active", tuple(fixtures.PRODUCTS[:4])), tmp_path)

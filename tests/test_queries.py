@@ -43,6 +43,7 @@ INVARIANTS = {
     "split_xxhash": lambda d: _is_share(d, "is_control", 0.02, 0.2),
     "random_sample": lambda d: _is_share(d, "is_test", 0.8, 0.98),
     "sample_by_stratum": lambda d: _is_share(d, "is_test", 0.8, 0.98),
+    "sample_by_engine": lambda d: _is_share(d, "is_test", 0.8, 0.98),
     "cube_assignment": lambda d: _is_share(d, "is_test", 0.89, 0.91),
     "method_compare": lambda d: _methods(d),
     "synth_customers": lambda d: _thousand(d),
