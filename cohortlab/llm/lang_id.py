@@ -11,7 +11,8 @@ Every document is predicted from its whole text alone.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; a null language is never learned; where
 no language can be learned every text is ``und`` with score 0; equal logits go to the first language in order; rows that
-repeat are predicted each; an empty table gives an empty table; other columns are ignored, whatever their names.
+repeat are predicted each; texts of any length are read whole, stretch by stretch; an empty table gives an empty table;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,18 +36,20 @@ ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 2e-3, 1e-4, 3
 _MULT = [np.uint32(m) for m in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 
 
-def term_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the text's character n-grams, ascending, and how often each occurs."""
-    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = np.concatenate([np.array([32], np.uint32), c, np.array([32], np.uint32)]) + np.uint32(1)
-    h = c * _MULT[0]
-    grams = [h]
-    for n in (1, 2):
-        h = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * _MULT[1] + c[n:] * _MULT[2]
-        grams.append(h)
-    h = np.concatenate(grams)
-    h = (h ^ (h >> np.uint32(16))) * _MULT[1]
-    counts = np.bincount(h >> np.uint32(32 - 15), minlength=DIMS)
+def term_counts(text: str, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the text's character n-grams, ascending, and how often each occurs. N-grams that begin in a stretch of
+    ``step`` code points are hashed together, so that a long text takes no more room than its own and a stretch's."""
+    low, counts = f" {text.lower()} ", np.zeros(DIMS, np.int64)
+    for a in range(0, len(low), step):
+        c = np.frombuffer(low[a : a + step + 2].encode("utf-32-le", "surrogatepass"), np.uint32) + np.uint32(1)
+        h = c * _MULT[0]
+        grams = [h[:step]]
+        for n in (1, 2):
+            h = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * _MULT[1] + c[n:] * _MULT[2]
+            grams.append(h[:step])
+        h = np.concatenate(grams)
+        h = (h ^ (h >> np.uint32(16))) * _MULT[1]
+        counts += np.bincount(h >> np.uint32(32 - 15), minlength=DIMS)
     at = np.flatnonzero(counts)
     return at, counts[at]
 

@@ -149,6 +149,71 @@ def test_languages(spark, docs, empty):
     assert {r.lang_pred for r in lang_id.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def brute_terms(text):
+    """Buckets of all n-grams, one by one, in Python's integers."""
+    import collections
+
+    mask, (m0, m1, m2) = (1 << 32) - 1, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
+    c, out = [ord(x) + 1 for x in f" {text.lower()} "], collections.Counter()
+    for i in range(len(c)):
+        h = c[i] * m0 & mask
+        for n in range(3):
+            if i + n >= len(c):
+                break
+            if n:
+                h = ((h ^ (h >> 15)) * m1 + c[i + n] * m2) & mask
+            out[((h ^ (h >> 16)) * m1 & mask) >> 17] += 1
+    return out
+
+
+def test_predictions_by_definition(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = lang_id.fit(docs)
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    for r in lang_id.predict(docs, model).collect():
+        text = rows[r.doc_id] or ""
+        if not any(map(str.isalpha, text)):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        v = {k: (1 + math.log(n)) * float(model["idf"][k]) for k, n in brute_terms(text).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        z = [(sum(x / norm * float(w[k]) for k, x in v.items()) + float(w[-1])) / model["temperature"] for w in model["weights"]]
+        e = [math.exp(x - max(z)) for x in z]
+        assert r.lang_pred == model["langs"][z.index(max(z))] and r.score == pytest.approx(max(e) / sum(e), abs=1e-4)
+
+
+def test_terms_don_t_depend_on_stretches():
+    text = "Ünïcödé tëxt, 日本語 and ASCII " * 20
+    whole = lang_id.term_counts(text)
+    for step in (1, 2, 3, 50):
+        assert all((a == b).all() for a, b in zip(whole, lang_id.term_counts(text, step), strict=True))
+    assert dict(zip(*(x.tolist() for x in whole), strict=True)) == brute_terms(text)
+
+
+def test_ftrl_by_definition():
+    rng = np.random.default_rng(5)
+    rows = [(np.sort(rng.choice(40, 4, replace=False)), np.full(4, 0.5)) for _ in range(30)]
+    target = rng.integers(0, 2, 30).tolist()
+    got = lang_id.train_ftrl(rows, target, 2, epochs=2, l1=0.05)
+    z, n = {}, {}
+    weight = lambda key: 0.0 if abs(z.get(key, 0.0)) <= 0.05 else -(z[key] - math.copysign(0.05, z[key])) / ((lang_id.BETA + math.sqrt(n[key])) / lang_id.ALPHA + lang_id.L2)
+    order = np.random.default_rng(0)
+    for _ in range(2):
+        for i in order.permutation(30):
+            x = [*zip(rows[i][0].tolist(), rows[i][1].tolist(), strict=True), (lang_id.DIMS, 1.0)]
+            w = {(k, c): weight((k, c)) for k, _ in x for c in range(2)}
+            logits = [sum(v * w[k, c] for k, v in x) for c in range(2)]
+            p = [math.exp(s - max(logits)) for s in logits]
+            for c in range(2):
+                g = p[c] / sum(p) - (target[i] == c)
+                for k, v in x:
+                    before = n.get((k, c), 0.0)
+                    n[k, c] = before + (g * v) ** 2
+                    z[k, c] = z.get((k, c), 0.0) + g * v - (math.sqrt(n[k, c]) - math.sqrt(before)) / lang_id.ALPHA * w[k, c]
+    for k, c in z:
+        assert got[c, k] == pytest.approx(weight((k, c)), abs=1e-6)
+
+
 def test_every_language_is_learned(spark):
     word = lambda k, j: chr(0x4E00 + 20 * k + j % 20) * 3
     rows = [(1000 * k + i, " ".join(word(k, i + j) for j in range(12)), f"l{k:03}") for k in range(300) for i in range(20 if k < 256 else 12)]
