@@ -223,13 +223,12 @@ def classify(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that are kept, with the columns of ``docs``. Texts are scored twice and never shuffled while sites
-    are few enough to be sent to all tasks."""
+    """The documents that are kept, with the columns of ``docs``. They are written once beside their evidence, so that
+    texts are scored once, and never shuffled while sites are few enough to be sent to all tasks."""
     model, names = fit(docs, labels), docs.columns
-    first = sites(save(with_evidence(docs.select(*_site_columns(host_col, path_col), utf8("text").alias("__t")), model), "site-evidence"))
     inner = [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(names)]
-    rows = with_evidence(docs.select(*inner, *_site_columns(host_col, path_col), utf8("text").alias("__t")), model)
-    found = joined_small(rows, first, ["host", "path"], "inner", MOST_SITES).where((F.col("__x") > -30) & (_p_of(posterior()) >= threshold))
+    rows = save(with_evidence(docs.select(*inner, *_site_columns(host_col, path_col), utf8("text").alias("__t")), model), "site-evidence")
+    found = joined_small(rows, sites(rows.select("host", "path", "__x")), ["host", "path"], "inner", MOST_SITES).where((F.col("__x") > -30) & (_p_of(posterior()) >= threshold))
     return found.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(names)])
 
 
