@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,13 +16,50 @@ from pyspark.sql import functions as F
 from cohortlab.functions.scalar import NULL_LABEL
 
 
+def exact_percentiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], most: int = 1_000_000) -> dict[str, list[float] | None]:
+    """Exact interpolated percentiles of columns, None for one without values. No task gathers more than ``most`` values:
+    columns with more are narrowed by approximate quantiles around each rank until that few are left."""
+    counts = df.agg(*[F.count(c).alias(c) for c in wanted]).first().asDict()
+    small = [c for c in wanted if 0 < counts[c] <= most]
+    found = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(float(p)) for p in wanted[c]])).alias(c) for c in small]).first().asDict() if small else {}
+    out: dict[str, list[float] | None] = {}
+    for c, probs in wanted.items():
+        if c in found or not counts[c]:
+            out[c] = found.get(c)
+            continue
+        values = df.select(F.col(c).cast("double").alias("v")).where("v is not null")
+        places = [(counts[c] - 1) * p for p in probs]
+        at = {k: _at_rank(values, k, counts[c], most) for k in sorted({f(x) for x in places for f in (floor, ceil)})}
+        out[c] = [at[int(x)] if x == int(x) else (ceil(x) - x) * at[floor(x)] + (x - floor(x)) * at[ceil(x)] for x in places]
+    return out
+
+
+def _at_rank(values: DataFrame, rank: int, n: int, most: int) -> float:
+    """The value with ``rank`` others before it in ascending order."""
+    inside, below, size, slack = values, 0, n, 1e-3
+    while size > most:
+        q = (rank - below) / size
+        low, high = inside.agg(F.percentile_approx("v", [max(0.0, q - slack), min(1.0, q + slack)], 100_000).alias("e")).first()["e"]
+        v, place = F.col("v"), rank - below
+        k = inside.agg(F.count_if(v < low).alias("lt_low"), F.count_if(v <= low).alias("le_low"), F.count_if(v < high).alias("lt_high"), F.count_if(v <= high).alias("le_high")).first()
+        if k["lt_low"] <= place < k["le_low"]:
+            return low
+        if k["lt_high"] <= place < k["le_high"]:
+            return high
+        if k["le_low"] <= place < k["lt_high"]:  # both edges go, so that a frequent value is met once
+            inside, size, below = inside.where((v > low) & (v < high)), k["lt_high"] - k["le_low"], below + k["le_low"]
+        else:
+            slack *= 4
+    return inside.agg(F.percentile("v", (rank - below) / max(size - 1, 1)).alias("x")).first()["x"]
+
+
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A row per column: count, null share (null on an empty table), mean, stddev, min, exact quartiles, max."""
-    q = lambda c: F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    parts = {c: F.struct(F.count(c).alias("n"), F.try_divide(F.count_if(F.col(c).isNull()).cast("double"), F.count(F.lit(1))).alias("null_share"), F.avg(F.col(c).cast("double")).alias("mean"), F.stddev_samp(F.col(c).cast("double")).alias("stddev"), F.min(F.col(c).cast("double")).alias("min"), q(c).alias("q"), F.max(F.col(c).cast("double")).alias("max")) for c in columns}
+    q = exact_percentiles(df, {c: (0.25, 0.5, 0.75) for c in columns})
+    parts = {c: F.struct(F.count(c).alias("n"), F.try_divide(F.count_if(F.col(c).isNull()).cast("double"), F.count(F.lit(1))).alias("null_share"), F.avg(F.col(c).cast("double")).alias("mean"), F.stddev_samp(F.col(c).cast("double")).alias("stddev"), F.min(F.col(c).cast("double")).alias("min"), *[F.lit(x).cast("double").alias(p) for p, x in zip(("p25", "p50", "p75"), q[c] or (None,) * 3, strict=True)], F.max(F.col(c).cast("double")).alias("max")) for c in columns}
     wide = df.agg(*[s.alias(c) for c, s in parts.items()])
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("s")) for c in columns])
-    return wide.select(F.inline(rows)).select("column", "s.n", "s.null_share", "s.mean", "s.stddev", "s.min", *[F.col("s.q")[i].alias(x) for i, x in enumerate(("p25", "p50", "p75"))], "s.max")
+    return wide.select(F.inline(rows)).select("column", "s.*")
 
 
 def clip(c: str, low: float | None, high: float | None) -> Column:
@@ -40,7 +78,7 @@ def winsorise(df: DataFrame, columns: Sequence[str], low: float = 0.01, high: fl
 
 def clip_exact(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99) -> tuple[DataFrame, float | None, float | None]:
     """Clip a column to its exact, interpolated quantiles; returns the frame and both bounds."""
-    lo, hi = df.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("q")).first()["q"] or (None, None)
+    lo, hi = exact_percentiles(df, {column: (low, high)})[column] or (None, None)
     return df.withColumn(column, clip(column, lo, hi)), lo, hi
 
 
@@ -105,8 +143,7 @@ def bucketize(df: DataFrame, column: str, n_bins: int, out: str | None = None, r
 def rank_bin(df: DataFrame, column: str, n_bins: int, out: str, prefix: str) -> DataFrame:
     """Bins between exact interpolated quantiles, right-closed, the lowest value included: ``prefix:Q1`` and on; equal
     edges are one edge; ``prefix:NULL`` for null."""
-    probs = F.array(*[F.lit(i / n_bins) for i in range(n_bins + 1)])
-    edges = sorted(set(df.agg(F.percentile(column, probs).alias("q")).first()["q"] or []))
+    edges = sorted(set(exact_percentiles(df, {column: [i / n_bins for i in range(n_bins + 1)]})[column] or []))
     label = F.when(F.col(column).isNull(), f"{prefix}:NULL")
     for i, edge in enumerate(edges[1:-1], 1):
         label = label.when(F.col(column) <= F.lit(edge), f"{prefix}:Q{i}")

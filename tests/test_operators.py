@@ -229,6 +229,15 @@ def test_deciles_where_one_score_has_half_the_rows(spark):
     assert got.join(want, "id").where("d <> want").isEmpty()
 
 
+def test_percentiles_of_columns_too_large_to_gather(spark):
+    df = spark.range(5000).selectExpr("if(id % 11 = 0, null, pow(id % 701, 2) / 7) as a", "if(id % 2 = 0, 3d, cast(id as double)) as b", "cast(null as double) as c")
+    probs = [0.0, 0.25, 0.77]
+    want = df.selectExpr(*[f"percentile({c}, array({', '.join(map(str, probs))})) as {c}" for c in "ab"]).first()
+    for most in (10_000, 300):
+        got = binning.exact_percentiles(df, dict.fromkeys("abc", probs), most)
+        assert got["a"] == pytest.approx(list(want.a)) and got["b"] == pytest.approx(list(want.b)) and got["c"] is None
+
+
 def test_last_row_of_a_channel_set_wins(spark):
     df = spark.createDataFrame([(1, 1, 0, 10, 0.1), (2, 1, 0, 5, 0.3), (3, 0, 1, 7, 0.2)], "k int, a int, b int, sample_size int, rate double")
     got = {r.mask: (r.sample_size, r.rate) for r in shapley.to_masks(df, ["a", "b"], last_by="k").collect()}
@@ -238,7 +247,7 @@ def test_last_row_of_a_channel_set_wins(spark):
 def test_cube_joins_back(spark):
     df = spark.range(400).selectExpr("id as cost_ID", "cast(id % 7 as double) as x", "'kept' as note")
     got = cube.cube_split(df, ["x"], "cost_ID", 0.5, group_rows=100)
-    assert got.columns == [*df.columns, "is_test"] and got.count() == 400 and got.where("is_test = 1").count() == 200
+    assert got.columns == [*df.columns, "is_test"] and got.count() == 400 and abs(got.where("is_test = 1").count() - 200) <= 3
 
 
 def test_report_and_files(spark, tmp_path):
