@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,8 +26,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
+def fresh_path(spark: SparkSession, name: str, work_dir: str | None = None) -> str:
+    """A path that nothing else uses; :func:`clear` removes it."""
+    path = f"{work_dir or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
 def save(df: DataFrame, name: str, work_dir: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return the table that was written: lineage ends here."""
-    path = f"{work_dir or shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name, work_dir)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Remove all tables and files that this driver has made so far, once no frame that reads them is needed; returns how
+    many paths went."""
+    n = 0
+    while _made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n

@@ -13,7 +13,7 @@ from cohortlab.functions import scalar as S
 from cohortlab.functions import special
 from cohortlab.operators import assign, binning, cube, outcomes, ranking, shapley, strata, subset, validate
 from cohortlab.plans import plots, report
-from cohortlab.sources import fixtures, sinks, synth
+from cohortlab.sources import fixtures, sinks, synth, work
 
 SF = "/root/testdata/sf0.001"
 
@@ -238,6 +238,15 @@ def test_percentiles_of_columns_too_large_to_gather(spark):
         assert got["a"] == pytest.approx(list(want.a)) and got["b"] == pytest.approx(list(want.b)) and got["c"] is None
 
 
+def test_work_tables_can_be_cleared(spark, tmp_path):
+    import os
+
+    work.clear(spark)
+    saved = work.save(spark.range(3), "x", f"file://{tmp_path}")
+    assert saved.count() == 3 and len(os.listdir(tmp_path)) == 1
+    assert work.clear(spark) == 1 and not os.listdir(tmp_path) and work.clear(spark) == 0
+
+
 def test_last_row_of_a_channel_set_wins(spark):
     df = spark.createDataFrame([(1, 1, 0, 10, 0.1), (2, 1, 0, 5, 0.3), (3, 0, 1, 7, 0.2)], "k int, a int, b int, sample_size int, rate double")
     got = {r.mask: (r.sample_size, r.rate) for r in shapley.to_masks(df, ["a", "b"], last_by="k").collect()}
