@@ -6,8 +6,6 @@ Anything that cuts lineage or is handed from one job to the next is written belo
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,35 +13,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dir: list[str] = []
+from cohortlab.sources.work import fresh_path, save
+
+__all__ = ["at_most", "by_bytes", "frame", "fresh_path", "joined_small", "mix64", "save", "table", "utf8"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where the setting is absent (single-machine tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="cohortlab-"))
-    return _own_dir[0]
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table that was written: lineage ends here."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def utf8(name: str, null: bytes = b""):
     """The column's text as UTF-8 bytes; null becomes ``null``."""
     return F.coalesce(F.col(name).cast("binary"), F.lit(null))
