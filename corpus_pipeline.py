@@ -37,7 +37,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = ngram_join.near_duplicates(named, id_col="__id").select("__id", "class_id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__id"))["__id"]
     firsts = save(named.select("doc_id", "__id").join(found, "__id").groupBy("class_id").agg(first.alias("__id")).select("__id"), "firsts")
-    return named.join(firsts, "__id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # merged at every size: the list grows with the documents
+    return named.join(firsts.hint("merge"), "__id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
