@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortlab.functions.scalar import NULL_LABEL
+from cohortlab.sources import work
 
 from . import binning
 
@@ -43,19 +45,6 @@ class _Split:
     children: dict[str, int]
 
 
-def _text(value) -> str:
-    if isinstance(value, list):
-        return f"array({', '.join(map(_text, value))})"
-    if isinstance(value, str):
-        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return "null" if value is None else f"{value!r}d" if isinstance(value, float) else str(value)
-
-
-def _array(values: list, kind: str) -> Column:
-    """An array of constants, parsed as one text: thousands of them are one call to the JVM."""
-    return F.expr(f"cast({_text(values)} as array<{kind}>)")
-
-
 def _interval(c: str, cuts: Column) -> Column:
     """Number of the right-closed interval between the cuts, -1 for null."""
     return F.when(F.col(c).isNull(), -1).otherwise(F.size(F.filter(cuts, lambda x: F.col(c).cast("double") > x)))
@@ -77,114 +66,103 @@ def tree(df: DataFrame, least: int, order: Sequence[str] = (FLAG, *NUMERIC), bin
     enough. ``best`` takes the feature with the most children, then the largest least child, then the earlier one;
     ``first`` the earliest feature that can split. Jobs are per level, not per node: one grouped percentile for the cuts
     of all nodes, features and bin counts, one grouped count of the finest intervals that any bin count needs, from which
-    the driver adds up every bin. A row's node is a number that each level looks up in arrays of the level's splits.
+    every bin of a node is added up where the node's counts are. Nodes are as many as the rows allow, so they stay in
+    tables: a row's node is the text of its path, which each level joins to its splits; the driver holds none of them.
     ``rel_err`` is the error of the quantiles (0: exact, up to ten million values a node).
     """
     numeric = [c for c in order if c != FLAG]
     probs = sorted({i / n for n in bins_try for i in range(1, n)})
-    flags = _flag_labels(flag_mode)
-    here = df.select(*dict.fromkeys(order)).withColumn("__node", F.lit(0)).persist()
-    try:
-        open_sizes, levels = [here.count()], []
-        for _ in range(max_depth):
-            if not any(n >= 2 * least for n in open_sizes):
-                break
-            live = here.where(F.col("__node").isin([i for i, n in enumerate(open_sizes) if n >= 2 * least]))
-            cuts = _level_cuts(live, numeric, probs, bins_try, rel_err)
-            counts = _level_counts(live, order, cuts, flag_mode, len(open_sizes))
-            splits: dict[int, _Split] = {}
-            for i, size in enumerate(open_sizes):
-                found = [s for j, c in enumerate(order) if (s := _split(i, j, c, counts, cuts, bins_try, least, flags))] if size >= 2 * least else []
-                if found:
-                    splits[i] = found[0] if selection == "first" else max(found, key=lambda s: (len(s.children), min(s.children.values())))
-            if not splits:
-                break
-            levels.append((len(open_sizes), splits))
-            above, here = here, _down(here, order, len(open_sizes), splits, flag_mode, "__node", None).where("__node is not null").persist()
-            here.count()
-            above.unpersist()
-            open_sizes = [n for _, s in sorted(splits.items()) for n in s.children.values()]
-    finally:
-        here.unpersist()
-    out, parts = df.withColumn("__node", F.lit(0)), {}
-    for depth, (n, splits) in enumerate(levels):
-        out = _down(out, order, n, splits, flag_mode, "__node", f"__label_{depth}")
-        for j in {s.feature for s in splits.values()}:
+    here = work.save(df.select(*dict.fromkeys(order)).withColumn("__node", F.lit("")), "tree-rows")
+    levels: list[tuple[DataFrame, list[int]]] = []
+    while len(levels) < max_depth:
+        cuts = work.save(_level_cuts(here, numeric, probs, rel_err).where(F.col("__n") >= 2 * least), "tree-cuts")
+        splits = work.save(_level_splits(here, cuts, order, probs, bins_try, least, flag_mode, selection), "tree-splits")
+        if not (used := sorted(r[0] for r in splits.select("__feature").distinct().collect())):
+            break
+        levels.append((splits, used))
+        if len(levels) < max_depth:
+            below = _down(here, order, splits, used, flag_mode, "inner").where(F.col("__size") >= 2 * least)
+            here = work.save(below.select(*here.columns), "tree-rows")
+    out, parts = df.withColumn("__node", F.lit("")), {}
+    for depth, (splits, used) in enumerate(levels):
+        out = _down(out, order, splits, used, flag_mode, "left").drop("__size")
+        out = out.withColumnsRenamed({x: f"{x}_{depth}" for x in ("__feature", "__label")})
+        for j in used:
             parts[f"__A_L{depth}_{order[j]}_bin"] = F.when(F.col(f"__feature_{depth}") == j, F.col(f"__label_{depth}"))
-        out = out.withColumnRenamed("__feature", f"__feature_{depth}")
     named = [F.concat(F.lit(f"{c}="), F.coalesce(parts[c], F.lit("__NA__"))) for c in sorted(parts)]
     out = out.withColumn(key_col, F.concat_ws(" | ", *named) if named else F.lit("ROOT"))
     return numbered(out.select(*df.columns, key_col), key_col, id_col, "A_")
 
 
-def _down(df: DataFrame, order: Sequence[str], n_nodes: int, splits: Mapping[int, _Split], flag_mode: str, node: str, label: str | None) -> DataFrame:
-    """Replace ``node`` by the number of the child among all children of the level, null for rows of closed nodes. With
-    ``label``, also add it, and the splitting feature's place as ``__feature``."""
-    nodes = range(n_nodes)
-    feature = _array([splits[i].feature if i in splits else -1 for i in nodes], "int")
-    at = lambda x: F.when(F.col(node).isNotNull(), F.element_at(x, F.col(node) + 1))
-    cuts = _array([splits[i].cuts if i in splits else [] for i in nodes], "array<double>")
-    used = sorted({s.feature for s in splits.values()})
-    df = df.withColumn("__feature", at(feature)).withColumn("__cuts", at(cuts))
+#: Nodes of a level up to which their table is sent to all executors; it has a kilobyte a node at most.
+FEW_NODES = 4096
+
+
+def _with_nodes(df: DataFrame, nodes: DataFrame, how: str) -> DataFrame:
+    """Rows with what ``nodes`` has of theirs: broadcast while there are few nodes with many rows each, else merged."""
+    return df.join(F.broadcast(nodes) if nodes.count() <= FEW_NODES else nodes.hint("merge"), "__node", how)
+
+
+def _down(df: DataFrame, order: Sequence[str], splits: DataFrame, used: Sequence[int], flag_mode: str, how: str) -> DataFrame:
+    """Replace ``__node`` by the child's; rows of closed nodes keep theirs. Adds the splitting feature's place as
+    ``__feature``, the child's ``__label`` and its ``__size``, null for rows of closed nodes."""
     code = F.coalesce(*[F.when(F.col("__feature") == j, _flag_code(order[j], flag_mode) if order[j] == FLAG else _interval(order[j], F.col("__cuts"))) for j in used])
-    child, labels, first = [], [], 0
-    for i in nodes:
-        if i in splits:
-            names = list(splits[i].children)
-            child.append([first + names.index(x) if x in names else None for x in splits[i].label_of])
-            labels.append(splits[i].label_of)
-            first += len(names)
-        else:
-            child.append([])
-            labels.append([])
-    slot = F.col("__code") + 2
-    df = df.withColumn("__code", code)
-    pick = lambda x: F.when(F.col("__code").isNotNull(), F.try_element_at(x, slot))
-    if label:
-        df = df.withColumn(label, pick(at(_array(labels, "array<string>"))))
-    df = df.withColumn(node, pick(at(_array(child, "array<int>"))))
-    return df.drop("__cuts", "__code", *([] if label else ["__feature"]))
-
-
-def _level_cuts(here: DataFrame, numeric: Sequence[str], probs: Sequence[float], bins_try: Sequence[int], rel_err: float) -> dict[tuple[int, str, int], list[float]]:
-    if not numeric or not probs:
-        return {}
-    accuracy = 10_000_000 if not rel_err else max(100, round(1 / rel_err))
-    rows = here.groupBy("__node").agg(*[F.percentile_approx(F.col(c).cast("double"), list(probs), accuracy).alias(c) for c in numeric]).collect()
-    at = {p: i for i, p in enumerate(probs)}
-    return {(r["__node"], c, n): sorted({r[c][at[i / n]] for i in range(1, n)}) for r in rows for c in numeric if r[c] for n in bins_try}
+    out = _with_nodes(df, splits, how).withColumn("__code", code + 2)
+    out = out.withColumns({"__label": F.try_element_at("__labels", F.col("__code")), "__size": F.try_element_at("__sizes", F.col("__code"))})
+    child = F.concat("__node", F.lit("/"), F.col("__feature").cast("string"), F.lit(":"), "__label")
+    return out.withColumn("__node", F.coalesce(child, "__node")).drop("__code", "__cuts", "__labels", "__sizes")
 
 
-def _fine(cuts: Mapping, node: int, c: str) -> list[float]:
-    """All cuts of a node's feature, of any bin count."""
-    return sorted({x for (i, name, _), own in cuts.items() if i == node and name == c for x in own})
+def _level_cuts(here: DataFrame, numeric: Sequence[str], probs: Sequence[float], rel_err: float) -> DataFrame:
+    """``__node, __n, __cuts_0, ...``: rows, and by numeric feature the quantiles of all ``probs``, which may repeat; null
+    without values."""
+    accuracy = 10_000_000 if not rel_err else max(100, round(1 / rel_err))
+    cut = lambda c: F.percentile_approx(F.col(c).cast("double"), list(probs), accuracy) if probs else F.first(F.lit(None).cast("array<double>"))
+    return here.groupBy("__node").agg(F.count(F.lit(1)).alias("__n"), *[cut(c).alias(f"__cuts_{i}") for i, c in enumerate(numeric)])
 
 
-def _level_counts(here: DataFrame, order: Sequence[str], cuts: Mapping, flag_mode: str, n_nodes: int) -> dict[tuple[int, str], dict[int, int]]:
-    """Rows by node, feature and code; codes of numeric features count the finest intervals."""
-    tests = []
+def _level_splits(here: DataFrame, cuts: DataFrame, order: Sequence[str], probs: Sequence[float], bins_try: Sequence[int], least: int, flag_mode: str, selection: str) -> DataFrame:
+    """``__node, __feature, __cuts, __labels, __sizes``: the chosen split of every node that has one; labels and sizes of
+    the children are by code + 1. Rows are counted by node, feature and code; codes of numeric features count the finest
+    intervals."""
+    flags, tests, column = _flag_labels(flag_mode), [], {}
     for j, c in enumerate(order):
         if c == FLAG:
             code = _flag_code(c, flag_mode)
         else:
-            fine = _array([_fine(cuts, i, c) for i in range(n_nodes)], "array<double>")
-            code = _interval(c, F.element_at(fine, F.col("__node") + 1))
-        tests.append(F.struct(F.lit(j).alias("feature"), code.alias("code")))
-    rows = here.select("__node", F.inline(F.array(*tests))).groupBy("__node", "feature", "code").count().collect()
-    out: dict[tuple[int, str], dict[int, int]] = {}
-    for r in rows:
-        out.setdefault((r["__node"], order[r["feature"]]), {})[r["code"]] = r["count"]
-    return out
-
-
-def _split(node: int, j: int, c: str, counts: Mapping, cuts: Mapping, bins_try: Sequence[int], least: int, flags: Sequence[str]) -> _Split | None:
-    found = counts.get((node, c), {})
-    if c == FLAG:
+            column[j] = f"__cuts_{len(column)}"
+            code = _interval(c, F.coalesce(column[j], F.array().cast("array<double>")))
+        tests.append(F.struct(F.lit(j).alias("j"), code.alias("code")))
+    counts = _with_nodes(here, cuts, "inner").select("__node", F.inline(F.array(*tests))).groupBy("__node", "j", "code").count()
+    counts = counts.groupBy("__node").agg(F.flatten(F.collect_list(F.array(*[F.col(c).cast("long") for c in ("j", "code", "count")]))).alias("__counts"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for row in b.to_dict("records"):
+                found: dict[int, dict[int, int]] = {}
+                for j, code, n in row["__counts"].reshape(-1, 3).tolist():
+                    found.setdefault(j, {})[code] = n
+                fine = {j: [] if row[x] is None else row[x].tolist() for j, x in column.items()}
+                can = [s for j in range(len(order)) if (s := _split(j, found[j], fine.get(j), probs, bins_try, least, flags))]
+                if can:
+                    s = can[0] if selection == "first" else max(can, key=lambda s: (len(s.children), min(s.children.values())))
+                    out.append((row["__node"], s.feature, s.cuts, s.label_of, [s.children.get(x) for x in s.label_of]))
+            yield pd.DataFrame(out, columns=["__node", "__feature", "__cuts", "__labels", "__sizes"])
+
+    nodes = counts.join(cuts, "__node").select("__node", "__counts", *column.values())
+    return nodes.mapInPandas(run, "__node string, __feature int, __cuts array<double>, __labels array<string>, __sizes array<long>")
+
+
+def _split(j: int, found: Mapping[int, int], fine: Sequence[float] | None, probs: Sequence[float], bins_try: Sequence[int], least: int, flags: Sequence[str]) -> _Split | None:
+    """A node's split by its ``j``-th feature, whose rows by code are ``found``; ``fine`` has the node's quantiles of all
+    ``probs``, None for a flag."""
+    if fine is None:
         children = {flags[code + 1]: n for code, n in sorted(found.items(), key=lambda x: flags[x[0] + 1])}
         return _Split(j, [], list(flags), children) if len(children) > 1 and min(children.values()) >= least else None
-    fine = _fine(cuts, node, c)
-    for n in bins_try:
-        if not (own := cuts.get((node, c, n))):
+    at = dict(zip(probs, fine, strict=False))
+    for n in bins_try if fine else ():
+        if not (own := sorted({at[i / n] for i in range(1, n)})):
             continue
         bins: dict[int, int] = {}
         for code, k in found.items():

@@ -104,6 +104,40 @@ def test_tree_leaves_are_large_enough(spark):
     assert strata.tree(df, 10_000).select("stratum_A_key").distinct().first()[0] == "ROOT"
 
 
+MANY_NODES = ["cast(id % 3 as int) as visa_ind", "cast(id * 7919 % 6007 as double) as balance", "id * 31 % 11 as n_offers_year", "if(id % 5 = 0, null, id * 17 % 13) as n_web_logins", "id % 7 as n_mobile_logins"]
+
+
+@pytest.mark.parametrize("selection", ["best", "first"])
+def test_tree_of_many_nodes_leaves_them_off_the_driver(spark, monkeypatch, selection):
+    df, seen = spark.range(6000).selectExpr("id as cost_ID", *MANY_NODES), []
+    collect = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: seen.extend(rows := collect(self)) or rows)
+    out = strata.tree(df, 2, rel_err=0.0, selection=selection)
+    monkeypatch.undo()
+    sizes = [r["count"] for r in out.groupBy("stratum_A").count().collect()]
+    assert sum(sizes) == 6000 and min(sizes) >= 2 and len(sizes) > 500
+    assert len(seen) < 100
+
+
+@pytest.mark.parametrize("nodes", [0, 1 << 20])
+def test_tree_is_the_same_merged_and_broadcast(spark, monkeypatch, nodes):
+    df = spark.range(3000).selectExpr("id as cost_ID", *MANY_NODES)
+    want = {r.cost_ID: r.stratum_A_key for r in strata.tree(df, 20, rel_err=0.0).collect()}
+    monkeypatch.setattr(strata, "FEW_NODES", nodes)
+    assert {r.cost_ID: r.stratum_A_key for r in strata.tree(df, 20, rel_err=0.0).collect()} == want and len(set(want.values())) > 20
+
+
+def test_tree_edges(spark):
+    df = spark.range(40).selectExpr("id as cost_ID", "cast(null as int) as visa_ind", "cast(null as double) as balance", "id as n_offers_year")
+    order = ("visa_ind", "balance", "n_offers_year")
+    assert strata.tree(df, 10, order).groupBy("stratum_A_key").count().count() > 1
+    assert {r.stratum_A for r in strata.tree(df, 10, order[:2]).collect()} == {"A_001"}
+    assert strata.tree(df, 10, ("visa_ind",)).first().stratum_A_key == "ROOT"
+    assert strata.tree(df, 10, order, max_depth=0).first().stratum_A_key == "ROOT"
+    assert strata.tree(df, 10, order, bins_try=()).first().stratum_A_key == "ROOT"
+    assert strata.tree(df.where("cost_ID < 0"), 10, order).count() == 0
+
+
 def test_coarsening_and_ids(spark):
     df = fixtures.frame(spark, "/root/testdata/sf0.01", "strat_customers")
     out, bins = strata.coarsen(df, 1, rel_err=0.0)
