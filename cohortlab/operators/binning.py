@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame
@@ -70,10 +71,24 @@ def clip(c: str, low: float | None, high: float | None) -> Column:
     return F.when(F.col(c).isNotNull(), v)
 
 
+def quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], rel_err: float = 0.001) -> dict[str, list[float]]:
+    """The value of rank ceil(p * n) for every wanted p of columns, in one job; none for a column without values, null and
+    NaN left out. With ``rel_err`` 0 ranks are exact: p is the decimal number that it prints as and the product no float,
+    which could fall beside a whole rank; that takes a job to count the values."""
+    if rel_err:
+        at = {(c, p): p for c, probs in wanted.items() for p in probs}
+    else:
+        n = df.agg(*[F.count(F.when(~F.isnan(F.col(c).cast("double")), F.col(c))).alias(c) for c in wanted]).first().asDict()
+        at = {(c, p): (max(1, ceil(Decimal(repr(float(p))) * n[c])) - 0.5) / n[c] for c, probs in wanted.items() if n[c] for p in probs}
+    asked = sorted(set(at.values()))
+    found = dict(zip(wanted, df.approxQuantile(list(wanted), asked, rel_err), strict=True)) if asked else {}
+    return {c: [found[c][asked.index(at[c, p])] for p in probs] if found.get(c) else [] for c, probs in wanted.items()}
+
+
 def winsorise(df: DataFrame, columns: Sequence[str], low: float = 0.01, high: float = 0.99, rel_err: float = 0.001) -> DataFrame:
     """Clip columns to their approximate quantiles, found in one job; a column without values stays as it is."""
-    found = df.approxQuantile(list(columns), [low, high], rel_err)
-    return df.withColumns({c: clip(c, *q) for c, q in zip(columns, found, strict=True) if q})
+    found = quantiles(df, {c: (low, high) for c in columns}, rel_err)
+    return df.withColumns({c: clip(c, *q) for c, q in found.items() if q})
 
 
 def clip_exact(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99) -> tuple[DataFrame, float | None, float | None]:
@@ -98,12 +113,9 @@ def flag_label(c: str = "visa_ind", mode: str = "3way") -> Column:
 
 def quantile_cuts(df: DataFrame, bins: Mapping[str, Sequence[int]], rel_err: float = 0.001) -> dict[tuple[str, int], list[float]]:
     """Distinct cut points of every (column, number of bins), in one job."""
-    probs = sorted({i / n for counts in bins.values() for n in counts for i in range(1, n)})
-    if not probs:
-        return {(c, n): [] for c, counts in bins.items() for n in counts}
-    found = dict(zip(bins, df.approxQuantile(list(bins), probs, rel_err), strict=True))
-    at = {p: i for i, p in enumerate(probs)}
-    return {(c, n): sorted({found[c][at[i / n]] for i in range(1, n)} if found[c] else set()) for c, counts in bins.items() for n in counts}
+    probs = {c: sorted({i / n for n in counts for i in range(1, n)}) for c, counts in bins.items()}
+    found = {c: dict(zip(probs[c], q, strict=False)) for c, q in quantiles(df, probs, rel_err).items()}
+    return {(c, n): sorted({found[c][i / n] for i in range(1, n)} if found[c] else set()) for c, counts in bins.items() for n in counts}
 
 
 def interval_label(c: str, cuts: Sequence[float], null_label: str = NULL_LABEL, prefix: str = "") -> Column:

@@ -77,6 +77,16 @@ def test_binning_edges(spark):
     assert binning.profile(empty, ["x"]).first().null_share is None
 
 
+@pytest.mark.parametrize("n", [6, 100, 600, 7 * 12])
+def test_exact_ranks_are_those_of_the_sql(spark, n):
+    import duckdb
+
+    df = spark.range(n + 1).selectExpr("if(id = 0, null, cast(id as double)) as x", "if(id = 1, double('nan'), if(id > 3, id, null)) as y", "cast(null as double) as z")
+    probs = [i / k for k in range(2, 9) for i in range(1, k)] + [0.0, 0.01, 0.07, 0.99, 1.0]
+    want = lambda start: duckdb.sql(f"select quantile_disc(i::double, [{', '.join(map(str, probs))}]) from range({start}, {n + 1}) r(i)").fetchall()[0][0]
+    assert binning.quantiles(df, dict.fromkeys("xyz", probs), 0.0) == {"x": want(1), "y": want(4), "z": []}
+
+
 def test_supervised_cuts_read_every_row(spark):
     x = lambda n: spark.range(n).select((F.col("id") % 8).alias("x"), (F.floor(F.col("id") / 8) % 10 < F.when(F.col("id") % 8 < 4, 2).otherwise(8)).cast("int").alias("y"))
     assert binning.tree_cuts(x(800), "x", F.col("y")) == binning.tree_cuts(x(640_000), "x", F.col("y")) == [3.5]

@@ -3,6 +3,7 @@
 import collections
 import math
 
+import duckdb
 import pytest
 
 from cohortlab.operators import strata
@@ -24,6 +25,19 @@ def test_equals_sql(spark, con, name):
     assert_same(catalogue.QUERIES[name](spark, SF), con, catalogue.ORACLE[name])
 
 
+def test_coarsening_equals_sql_where_a_rank_is_whole(spark, tmp_path):
+    """Sixty customers for each of the table's: ranks of sixths are whole numbers between two values."""
+    con = connect(SF)
+    con.execute(f"copy (select c.* replace (c_custkey + 1000 * i as c_custkey) from customer c, range(60) r(i)) to '{tmp_path}/customer.parquet'")
+    con.execute(f"copy (select o.* replace (o_orderkey + 10000 * i as o_orderkey, o_custkey + 1000 * i as o_custkey) from orders o, range(60) r(i)) to '{tmp_path}/orders.parquet'")
+    con.execute(f"copy (select e.* replace (user_id + 1000 * i as user_id) from events e, range(60) r(i)) to '{tmp_path}/events.parquet'")
+    large = duckdb.connect()
+    for t in ("customer", "orders", "events"):
+        large.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    got = catalogue.QUERIES["coarsen_strata"](spark, str(tmp_path))
+    assert_same(got, large, catalogue.ORACLE["coarsen_strata"])
+
+
 def _is_share(df, column, low, high):
     assert set(df[column]) <= {0, 1} and low <= df[column].mean() <= high and df.cost_ID.is_unique and len(df) == 150
 
