@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cohortlab.functions import scalar as S
 from cohortlab.functions import special
 from cohortlab.operators import assign, binning, cube, outcomes, ranking, shapley, strata, subset, validate
-from cohortlab.plans import plots, report
+from cohortlab.plans import approaches, plots, report
 from cohortlab.sources import fixtures, sinks, synth, work
 
 SF = "/root/testdata/sf0.001"
@@ -129,6 +129,14 @@ def test_tree_of_many_nodes_leaves_them_off_the_driver(spark, monkeypatch, selec
     assert len(seen) < 100
 
 
+def test_approach_by_a_tree_of_many_nodes_leaves_them_off_the_driver(spark, monkeypatch):
+    df, seen = spark.range(6000).selectExpr("id as cost_ID", *MANY_NODES), []
+    collect = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: seen.extend(rows := collect(self)) or rows)
+    got = approaches.by_tree(df, 2, rel_err=0.0).summary.collect()[0]
+    assert got.n_strata > 500 and got.min_n >= 2 and len(seen) < 100
+
+
 @pytest.mark.parametrize("nodes", [0, 1 << 20])
 def test_tree_is_the_same_merged_and_broadcast(spark, monkeypatch, nodes):
     df = spark.range(3000).selectExpr("id as cost_ID", *MANY_NODES)
