@@ -152,6 +152,12 @@ def test_tree_equals_a_node_by_node_tree(spark, selection):
     assert got == brute_tree(df.toPandas(), catalogue.LEAST, selection) and len(set(got.values())) > 8
 
 
+def test_first_tree_of_many_nodes_equals_a_node_by_node_tree(spark):
+    df = fixtures.frame(spark, "/root/testdata/sf0.01", "strat_customers")
+    got = {r.cost_ID: r.stratum_A_key for r in strata.tree(df, 3, rel_err=0.0, selection="first").collect()}
+    assert got == brute_tree(df.toPandas(), 3, "first") and len(set(got.values())) > 200
+
+
 def test_every_product_is_compared(spark):
     assert {f"{p}_abs_diff" for p in catalogue.PRODUCTS} < set(catalogue.QUERIES["value_diff"](spark, SF).columns)
     assert {r["product"] for r in catalogue.QUERIES["report_top3_shift"](spark, SF).collect()} - set(catalogue.PRODUCTS[:12])
