@@ -13,9 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.sources.work import fresh_path, save
+from cohortlab.sources.work import drop, fresh_path, save
 
-__all__ = ["at_most", "by_bytes", "frame", "fresh_path", "joined_small", "mix64", "save", "table", "utf8"]
+__all__ = ["at_most", "by_bytes", "drop", "frame", "fresh_path", "joined_small", "mix64", "save", "sieved", "table", "utf8"]
+
+#: Bits of a sieve, at most (16 MB); a longer list makes it coarser, never wrong.
+SIEVE_BITS = 1 << 27
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +63,19 @@ def joined_small(left: DataFrame, right: DataFrame, on, how: str, most: int) ->
     return left.join(F.broadcast(right) if at_most(right, most) else right, on, how)
 
 
+def sieved(df: DataFrame, listed: DataFrame, on: list[str], out: str = "__maybe") -> DataFrame:
+    """Add ``out``: false for rows whose ``on`` is certainly not in ``listed``, true for all that are and about one in
+    sixteen others. Bits of a hash, sixteen a listed row, are broadcast, so that an exact join need only shuffle the rest."""
+    bits = min(SIEVE_BITS, max(1 << 15, 1 << (16 * listed.count()).bit_length()))
+    place = F.pmod(F.xxhash64(*on), F.lit(bits))
+    bucket, bit = F.shiftright(place, 15), place.bitwiseAND(F.lit((1 << 15) - 1))
+    maps = listed.select(bucket.alias("__bucket"), bit.alias("__bit")).groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__map"))
+    found = df.withColumns({"__bucket": bucket, "__bit": bit}).join(F.broadcast(maps), "__bucket", "left")
+    byte = F.conv(F.hex(F.substring("__map", F.shiftright("__bit", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    hit = F.getbit(byte, F.col("__bit").bitwiseAND(F.lit(7)).cast("int")) == 1
+    return found.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(hit, F.lit(False)).alias(out))
+
+
 def frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
     """Rows for Spark that keep integers beside nulls; missing fields at the end are null."""
     return pd.DataFrame([(*r, *[None] * (len(names) - len(r))) for r in rows], columns=names, dtype=object)

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import by_bytes, frame, mix64, save, utf8
+from ._common import by_bytes, drop, frame, mix64, save, sieved, utf8
 
 N, THRESHOLD, TARGET_RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
 #: Members of a block of a bucket; members and n-grams of a block of a candidate group.
@@ -273,7 +273,7 @@ def verified_links(units: DataFrame, threshold: float) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``rep, root``: the least member of the connected set of every end of a link. Each round sends the least label of
+    """``rep, old, root``: the least member of the connected set of every end of a link. Each round sends the least label of
     a member's neighbours to it and then shortens chains by following labels; rounds are written to the shared folder."""
     # a member that several units linked to other firsts ties these firsts together: (member, least) and (first, least)
     own = links.where("a <> b").select("a", "b").withColumn("m", F.least(F.min("b").over(Window.partitionBy("a")), "a"))
@@ -285,10 +285,10 @@ def components(links: DataFrame) -> DataFrame:
         near = edges.join(labels, edges["b"] == labels["rep"]).groupBy("a").agg(F.min("root").alias("m"))
         step = labels.join(near, labels["rep"] == near["a"]).select("rep", F.col("root").alias("old"), F.least("root", "m").alias("mid"))
         up = labels.select(F.col("rep").alias("__r"), F.col("root").alias("__up"))
-        labels = save(step.join(up, step["mid"] == up["__r"], "left").select("rep", "old", F.coalesce(F.least("mid", "__up"), "mid").alias("root")), "labels")
-        moved = not labels.where("old <> root").isEmpty()
-        labels = labels.select("rep", "root")
-        if not moved:
+        before, labels = labels, save(step.join(up, step["mid"] == up["__r"], "left").select("rep", "old", F.coalesce(F.least("mid", "__up"), "mid").alias("root")), "labels")
+        drop(before)
+        if labels.where("old <> root").isEmpty():
+            drop(edges)
             return labels
 
 
@@ -298,6 +298,7 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     bands, rows = choose_bands(threshold, recall)
     signed = save(signatures(docs, bands, rows, n, id_col, text_col), "minima")
     keyed = signed.where("key is not null")
+    # tables that hold minima or bands go as soon as the candidates are known, so that they don't lie beside the texts' shuffle
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h"))
     grouped = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), first.alias("first"), F.first("minima").alias("minima"), F.first("n_grams").alias("n_grams"))
     # numbers of the written list, so that null and repeated doc_ids do no harm
@@ -307,17 +308,20 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     members = banded.join(buckets, "band").select("rep", "band", "size")
     units = block_units(members, "band", F.ceil(F.col("size") / BLOCK)).join(reps.select("rep", "minima"), "rep")
     groups = components(candidate_links(units.select("unit", "side", "rep", "minima"), bands * rows, slack(threshold, bands * rows)))
-    wanted = save(groups.join(reps.select("rep", "key", "copies", "first_id", "first_h", "n_grams"), "rep"), "wanted")
+    keys, told_by = save(signed.select("id", "key"), "keys"), save(reps.drop("minima"), "reps")
+    drop(signed, banded, buckets, reps)
+    wanted = save(groups.select("rep", "root").join(told_by.select("rep", "key", "copies", "first_id", "first_h", "n_grams"), "rep"), "wanted")
     sizes = save(wanted.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / VERIFY_BLOCK), F.ceil(F.sum("n_grams") / VERIFY_GRAMS)).alias("blocks")), "group-sizes")
-    sets = _sets(docs, save(wanted.join(sizes, "root"), "wanted"), n, id_col, text_col)
-    links = save(verified_links(block_units(sets, "root", F.col("blocks")), threshold), "links-verified")
-    roots = components(links)
+    sized = save(wanted.join(sizes, "root"), "wanted")
+    links = save(verified_links(block_units(_sets(docs, sized, n, id_col, text_col), "root", F.col("blocks")), threshold), "links-verified")
+    drop(groups, wanted, sizes, sized)
+    roots = components(links).select("rep", "root")
     counts = links.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    told = save(reps.select("key", "rep", "copies", "first_id").join(roots, "rep", "left").join(counts, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "told")
+    told = save(told_by.select("key", "rep", "copies", "first_id").join(roots, "rep", "left").join(counts, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "told")
     firsts = save(told.groupBy("root").agg(F.min("first_id").alias("class_id")), "firsts")
     classes = save(told.join(firsts, "root").select("key", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classes-told")
-    out = keyed.select("id", "key").join(classes, "key").select("id", "class_id", "n_links")
-    alone = signed.where("key is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    out = keys.where("key is not null").join(classes, "key").select("id", "class_id", "n_links")
+    alone = keys.where("key is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(alone).withColumnRenamed("id", id_col)
 
 
@@ -332,8 +336,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str
                 part = b.iloc[a:z]
                 yield part[names].assign(grams=[shingles(t.lower().split(), n).tobytes() for t in part["t"]])
 
-    # the wanted grow with the texts, so they are merged at every size
-    texts, wanted = _texts(docs, id_col, text_col), wanted.hint("merge")
+    # the wanted grow with the texts, so they are merged at every size, with the texts that a sieve of them lets through
+    asked = wanted.select(F.col("first_id").alias("id"), F.col("first_h").alias("h"))
+    texts, wanted = sieved(_texts(docs, id_col, text_col), asked, ["id", "h"]).where("__maybe").drop("__maybe"), wanted.hint("merge")
     found = texts.join(wanted, texts["id"].eqNullSafe(wanted["first_id"]) & (texts["h"] == wanted["first_h"]))
     chosen = found.groupBy("rep").agg(F.first("t").alias("t"), *[F.first(c).alias(c) for c in names[1:]])
     return chosen.mapInPandas(run, "rep long, root long, blocks long, copies long, grams binary")

@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 _made: list[str] = []
+#: Paths by the frames that read them, while those live.
+_saved: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,14 +40,26 @@ def save(df: DataFrame, name: str, work_dir: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return the table that was written: lineage ends here."""
     path = fresh_path(df.sparkSession, name, work_dir)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _saved[out] = path
+    return out
+
+
+def drop(*tables: DataFrame) -> int:
+    """Remove tables that :func:`save` returned, once no frame that reads them is needed; returns how many went."""
+    paths = [_saved.pop(t, None) for t in tables]
+    return sum(_remove(t.sparkSession, p) for t, p in zip(tables, paths, strict=True) if p)
 
 
 def clear(spark: SparkSession) -> int:
     """Remove all tables and files that this driver has made so far, once no frame that reads them is needed; returns how
     many paths went."""
-    n = 0
-    while _made:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+    return sum(_remove(spark, p) for p in list(_made))
+
+
+def _remove(spark: SparkSession, name: str) -> int:
+    if name not in _made:
+        return 0
+    _made.remove(name)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return int(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.llm import mixing, ngram_join, quality_rules, site_quality, tree_bpe
-from cohortlab.llm._common import save, table
+from cohortlab.llm._common import save, sieved, table
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,12 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = ngram_join.near_duplicates(named, id_col="__id").select("__id", "class_id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__id"))["__id"]
     firsts = save(named.select("doc_id", "__id").join(found, "__id").groupBy("class_id").agg(first.alias("__id")).select("__id"), "firsts")
-    # merged at every size: the list grows with the documents
-    return named.join(firsts.hint("merge"), "__id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = save(named.select("__id").join(firsts.hint("merge"), "__id", "left_anti"), "gone")
+    # most texts are known to stay by a sieve of those that go; the rest is merged with their list, which grows with the documents
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    sifted = sieved(named, gone, ["__id"], "__maybe_gone")
+    rest = sifted.where("__maybe_gone").join(gone.hint("merge"), "__id", "left_anti")
+    return sifted.where("not __maybe_gone").select(*names).unionByName(rest.select(*names))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -212,3 +212,42 @@ def test_pipeline_stages(spark):
         before = rows
     assert docs.count() == len(before)
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_a_sieve_lets_all_through_that_are_listed(spark):
+    from cohortlab.llm._common import sieved
+
+    df = spark.range(40_000).selectExpr("if(id = 7, null, id) as id", "md5(cast(id as string)) as h")
+    listed = df.where("id is null or id % 10 = 3")
+    got = sieved(df, listed, ["id", "h"])
+    assert got.count() == 40_000 and got.columns == ["id", "h", "__maybe"]
+    assert got.where("(id is null or id % 10 = 3) and not __maybe").isEmpty()
+    assert 0 < got.where("__maybe").count() - 4001 < 36_000 / 12
+    assert sieved(df, listed.limit(0), ["id", "h"]).where("__maybe").isEmpty()
+
+
+def test_near_duplicates_leave_no_minima_and_shuffle_few_texts(spark, tmp_path, monkeypatch):
+    """Texts without near copies are not shuffled, and tables with minima or bands are gone when texts are."""
+    from cohortlab.llm import ngram_join
+    from cohortlab.sources import work
+
+    docs = spark.range(400).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 40), i -> concat('w', cast(if(id < 20, 0, id) as string), '_', cast(i as string))), if(id < 20, cast(id as string), null)) as text")
+    monkeypatch.setattr(work, "shared_dir", lambda _: f"file://{tmp_path}")
+    seen, links = [], ngram_join.verified_links
+
+    def spied(units, threshold):
+        seen.append(sorted(p.name.split("-")[0] for p in tmp_path.iterdir()))
+        return links(units, threshold)
+
+    sets, texts = ngram_join._sets, []
+
+    def sifted(docs, wanted, *rest):
+        asked = wanted.selectExpr("first_id as id", "first_h as h")
+        texts.append(ngram_join.sieved(ngram_join._texts(docs, "doc_id", "text"), asked, ["id", "h"]).where("__maybe").count())
+        return sets(docs, wanted, *rest)
+
+    monkeypatch.setattr(ngram_join, "verified_links", spied)
+    monkeypatch.setattr(ngram_join, "_sets", sifted)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.near_duplicates(docs).collect()}
+    assert got == {i: (0, 19) if i < 20 else (i, 0) for i in range(400)}
+    assert not {"minima", "bands", "classes", "buckets"} & set(seen[0]) and 20 <= texts[0] < 60
