@@ -31,6 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,8 +67,10 @@ def slack(threshold: float, hashes: int) -> float:
 
 
 class _Words(dict):
+    """Hashes of words, emptied after each task: Python workers live on beside the stages after theirs."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -76,6 +79,11 @@ class _Words(dict):
 _words = _Words()
 
 
+def _release() -> None:
+    _words.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def shingles(words: list[bytes], n: int = N) -> np.ndarray:
     """The distinct n-grams as ascending 64-bit hashes."""
     h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
@@ -122,6 +130,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int = N, id_col: str =
                 found = dict(zip(some, zip(map(len, sets), minima(sets, bands * rows) if some else [], strict=True), strict=True))
                 rest = lambda k, ws: (hashlib.md5(b" ".join(ws)).digest(), found[k][0], found[k][1].tobytes()) if ws else (None, None, None)
                 yield frame([(None if pd.isna(i) else int(i), h, *rest(k, ws)) for k, (i, h, ws) in enumerate(zip(ids[a:z], hashes[a:z], split, strict=True))], ["id", "h", "key", "n_grams", "minima"])
+        _release()
 
     return _texts(docs, id_col, text_col).mapInPandas(run, "id long, h string, key binary, n_grams long, minima binary")
 
@@ -335,6 +344,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str
             for a, z in by_bytes([len(t) for t in b["t"]], 1 << 21):
                 part = b.iloc[a:z]
                 yield part[names].assign(grams=[shingles(t.lower().split(), n).tobytes() for t in part["t"]])
+        _release()
 
     # the wanted grow with the texts, so they are merged at every size, with the texts that a sieve of them lets through
     asked = wanted.select(F.col("first_id").alias("id"), F.col("first_h").alias("h"))
