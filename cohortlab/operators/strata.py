@@ -71,6 +71,7 @@ def tree(df: DataFrame, least: int, order: Sequence[str] = (FLAG, *NUMERIC), bin
     ``rel_err`` is the error of the quantiles (0: exact, up to ten million values a node).
     """
     numeric = [c for c in order if c != FLAG]
+    void = {c for c, kind in df.dtypes if kind == "void"}  # no file holds these
     probs = sorted({i / n for n in bins_try for i in range(1, n)})
     here = work.save(df.select(*dict.fromkeys(order)).withColumn("__node", F.lit("")), "tree-rows")
     levels: list[tuple[DataFrame, list[int]]] = []
@@ -78,11 +79,14 @@ def tree(df: DataFrame, least: int, order: Sequence[str] = (FLAG, *NUMERIC), bin
         cuts = work.save(_level_cuts(here, numeric, probs, rel_err).where(F.col("__n") >= 2 * least), "tree-cuts")
         splits = work.save(_level_splits(here, cuts, order, probs, bins_try, least, flag_mode, selection), "tree-splits")
         if not (used := sorted(r[0] for r in splits.select("__feature").distinct().collect())):
+            work.drop(cuts, splits)
             break
         levels.append((splits, used))
         if len(levels) < max_depth:
             below = _down(here, order, splits, used, flag_mode, "inner").where(F.col("__size") >= 2 * least)
-            here = work.save(below.select(*here.columns), "tree-rows")
+            above, here = here, work.save(below.select(*here.columns), "tree-rows")
+            work.drop(above)
+        work.drop(cuts)
     out, parts = df.withColumn("__node", F.lit("")), {}
     for depth, (splits, used) in enumerate(levels):
         out = _down(out, order, splits, used, flag_mode, "left").drop("__size")
@@ -91,7 +95,10 @@ def tree(df: DataFrame, least: int, order: Sequence[str] = (FLAG, *NUMERIC), bin
             parts[f"__A_L{depth}_{order[j]}_bin"] = F.when(F.col(f"__feature_{depth}") == j, F.col(f"__label_{depth}"))
     named = [F.concat(F.lit(f"{c}="), F.coalesce(parts[c], F.lit("__NA__"))) for c in sorted(parts)]
     out = out.withColumn(key_col, F.concat_ws(" | ", *named) if named else F.lit("ROOT"))
-    return numbered(out.select(*df.columns, key_col), key_col, id_col, "A_")
+    # what the caller does with the rows plans one join for the ids, not all levels once more for every use of them
+    keyed = work.save(out.select(*[F.lit(1).alias(c) if c in void else F.col(f"`{c}`") for c in df.columns], key_col), "tree-keys")
+    work.drop(here, *[splits for splits, _ in levels])
+    return numbered(keyed.select(*[F.lit(None).alias(c) if c in void else F.col(f"`{c}`") for c in df.columns], key_col), key_col, id_col, "A_")
 
 
 #: Nodes of a level up to which their table is sent to all executors; it has a kilobyte a node at most.

@@ -39,7 +39,7 @@ def fresh_path(spark: SparkSession, name: str, work_dir: str | None = None) -> s
 def save(df: DataFrame, name: str, work_dir: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return the table that was written: lineage ends here."""
     path = fresh_path(df.sparkSession, name, work_dir)
-    df.write.parquet(path)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _saved[out] = path
     return out

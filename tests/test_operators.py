@@ -137,6 +137,15 @@ def test_approach_by_a_tree_of_many_nodes_leaves_them_off_the_driver(spark, monk
     assert got.n_strata > 500 and got.min_n >= 2 and len(seen) < 100
 
 
+@pytest.mark.parametrize("selection", ["best"])
+def test_rows_of_a_tree_are_planned_once_and_its_tables_dropped(spark, selection):
+    made = len(work._made)
+    df = spark.range(3000).selectExpr("id as cost_ID", *MANY_NODES, "null as nothing")
+    out = strata.tree(df, 20, rel_err=0.0, selection=selection)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1 and len(work._made) == made + 1
+    assert out.dtypes[:-2] == df.dtypes and {r.cost_ID for r in out.collect()} == set(range(3000))
+
+
 @pytest.mark.parametrize("nodes", [0, 1 << 20])
 def test_tree_is_the_same_merged_and_broadcast(spark, monkeypatch, nodes):
     df = spark.range(3000).selectExpr("id as cost_ID", *MANY_NODES)
