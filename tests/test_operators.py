@@ -146,6 +146,12 @@ def test_rows_of_a_tree_are_planned_once_and_its_tables_dropped(spark, selection
     assert out.dtypes[:-2] == df.dtypes and {r.cost_ID for r in out.collect()} == set(range(3000))
 
 
+def test_work_tables_are_data_files_only(spark, tmp_path):
+    assert work.save(spark.range(3), "three", f"file://{tmp_path}").count() == 3
+    names = [p.name for d in tmp_path.iterdir() for p in d.iterdir()]
+    assert names and not [n for n in names if "_SUCCESS" in n]
+
+
 @pytest.mark.parametrize("nodes", [0, 1 << 20])
 def test_tree_is_the_same_merged_and_broadcast(spark, monkeypatch, nodes):
     df = spark.range(3000).selectExpr("id as cost_ID", *MANY_NODES)
