@@ -67,8 +67,8 @@ def pack(ids: np.ndarray) -> np.ndarray:
     at, starts, escaped = 0, [], []
     while at < n:
         starts.append(at)
-        if step_of[at]:
-            at += step_of[at]
+        if step := step_of[at]:
+            at += step
         else:  # a run of values over 60 bits
             run = at
             while run < n and not step_of[run]:

@@ -42,6 +42,26 @@ def test_units_give_the_library_s_ids(path, make):
         assert found.ids[a:z].tolist() == lib.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_are_learned_once_whatever_mark_follows(monkeypatch):
+    enc, lib = _units.word_encoder(WORD), Tokenizer.from_file(WORD)
+    whole, seen = enc._whole, []
+    monkeypatch.setattr(enc, "_whole", lambda units: seen.extend(map(str, units)) or whole(units))
+    text = "Thé ÉTÉ, straße. naïve! Ünder; the: été? été, (thé) the*** THE%%% été's don't"
+    assert enc.encode([text]).ids.tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert sorted(seen) == sorted(["%%%", "'s", "'t", "***", "!", " (thé", ")", ",", ".", ":", ";", "?"])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_cuts_at_marks_are_exact(seed):
+    rnd, enc, lib = random.Random(seed), _units.word_encoder(WORD), Tokenizer.from_file(WORD)
+    letters, marks = ["a", "S", "re", "É", "ÿ", "×", "÷", "ß", "ª", "İ", "ſ", "Ā", "e\u0301", "日", "1"], ["'", "''", "|", "<", ">", "_", ",", "=\u0338", "\u0301", " ", "\n", "\x85", "\xa0"]
+    special = ["<|endoftext|>", "<|startoftext|>", "<|END", "oftext|>", "<|endoftext"]
+    texts = ["".join(rnd.choices(rnd.choice([letters + marks, [*letters, *marks, *special], ["a", "t", *special, "|", ">"]]), k=rnd.randrange(1, 40))) for _ in range(1000)]
+    found = enc.encode(texts)
+    for a, z, text in zip(found.bounds(), found.bounds()[1:], texts, strict=False):
+        assert found.ids[a:z].tolist() == lib.encode(text, add_special_tokens=False).ids, text
+
+
 def test_cache_forgets():
     enc, lib = _units.UnitEncoder(WORD, _units.word_cuts, most=20), Tokenizer.from_file(WORD)
     rnd = random.Random(1)
